@@ -27,6 +27,8 @@ from pairloom.llm.common import table
 
 SAMPLE = 4000
 FEATURES = 6000
+#: Least squared z of the difference between the classes' rates for a feature to be used.
+GAIN = 14.0
 PREFIXES = (4, 5, 6)
 PENALTY = 1.0
 RIDGE = 2e-4
@@ -89,10 +91,11 @@ def fit(texts: list[str], labels: list[int], penalty: float = PENALTY, rounds: i
         seen.update(s)
         if label:
             bad.update(s)
-    # The features whose rate differs most between the classes, in standard errors; ties by name.
+    # The features whose rate differs most between the classes; ties by name.
     n, n1 = len(y), y.sum()
     rate = n1 / n
-    gain = {f: (bad[f] - c * rate) ** 2 / (c * rate * (1 - rate) * (1 - c / (n + 1)) + 1e-9) for f, c in seen.items() if c >= 5}
+    gain = {f: (bad[f] - c * rate) ** 2 / (c * rate * (1 - rate) * (1 - c / (n + 1)) + 1e-9) for f, c in seen.items() if c >= 3}
+    gain = {f: g for f, g in gain.items() if g >= GAIN}
     kinds = [sorted(t for t in kind) for kind in IDENTITY]
     terms = {t for kind in kinds for t in kind}
     names = sorted(sorted(gain, key=lambda f: (-gain[f], f))[:FEATURES])
