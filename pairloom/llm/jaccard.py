@@ -2,9 +2,10 @@
 
 1. Texts become sets of word-shingle hashes; equal sets are one vertex from here on, named by its smallest doc_id.
 2. Lossless blocking: sets with Jaccard similarity of at least t share one of their first n - ceil(t n) + 1 shingles in
-   any common order. The order puts shingles of crowded hash groups last (counted over all documents), so boilerplate
-   makes no blocks. Shingle hashes travel as packed arrays, a row per task and bucket; a bucket's task chains sets that
-   share a shingle and are close in size, and sends on one edge per set. The edges' components are the candidates.
+   any common order. The order is by how many vertices have a shingle, rare first, counted over all of them, so passages
+   of many documents make no blocks; a shingle of one vertex needs no block at all. Hashes travel as packed arrays, a
+   row per chunk and bucket (chunks.py); a bucket's task chains sets that share a shingle and are close in size, and
+   sends on one edge per set. The edges' components are the candidates.
 3. Within candidates, a set's point has, for each of DIMENSIONS groups, the number of its shingles whose hash falls
    there. An R-tree over the points bounds the overlap of a set with a node by the sum of the smaller coordinates;
    subtrees that can't reach the threshold, or lie in the set's own cluster already, are left out, and what survives is
@@ -18,7 +19,7 @@ rows that repeat an id are one vertex, whatever their texts; an empty table give
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.llm.chunks import CHUNK_BYTES, NONE, SpanHash, batch_of, build, by_bucket, from_low_bytes, low_bytes, rows_of, runs, to_buckets, unpack, with_ids
 from pairloom.llm.common import join_groups, materialise, table
 from pairloom.llm.graph import components
 
@@ -35,57 +37,26 @@ NUM, DEN = 75, 100
 DIMENSIONS = 32
 LEAF = 16
 GROUP = 4000
-CROWD_BITS = 16
-NONE = -(1 << 63)
 #: A-Z to a-z and the six white-space bytes to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-MASK = (1 << 64) - 1
-BASE = 0x9E3779B97F4A7C15
-MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
-    return x ^ (x >> np.uint64(31))
+LOW4 = (1 << 32) - 1
 
 
 class Shingler:
     """Sorted distinct 64-bit hashes of the runs of ``words`` words of a text."""
 
     def __init__(self, words: int = WORDS):
-        self.words = words
-        self.values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-        self.powers = self.inverse = np.ones(1, np.uint64)
-        self._grow(1 << 14)
-
-    def _grow(self, n: int) -> None:
-        def run(base: int) -> np.ndarray:
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            return np.multiply.accumulate(out)
+        self.words, self.hash = words, SpanHash()
 
-        self.powers, self.inverse = run(BASE), run(pow(BASE, -1, 1 << 64))
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        parts = (text or "").encode().translate(FOLD).split()
+    def __call__(self, text: bytes) -> np.ndarray:
+        parts = text.translate(FOLD).split()
         if not parts:
             return np.zeros(0, np.uint64)
         raw = np.frombuffer(b" ".join(parts), np.uint8)
-        if len(raw) >= len(self.powers):
-            self._grow(2 * len(raw))
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.values[raw] * self.powers[: len(raw)], out=sums[1:])
         spaces = np.flatnonzero(raw == 32)
         starts, ends = np.append(0, spaces + 1), np.append(spaces, len(raw))
         k = min(self.words, len(parts))
-        first, last = starts[: len(parts) - k + 1], ends[k - 1 :]
-        return np.unique(mix64((sums[last] - sums[first]) * self.inverse[first] + (last - first).astype(np.uint64)))
-
-
-def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
-    return n - -(-num * n // den) + 1
+        return np.unique(self.hash.spans(self.hash.sums(raw), starts[: len(parts) - k + 1], ends[k - 1 :]))
 
 
 class Clusters:
@@ -115,6 +86,8 @@ class CountTree:
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.points = np.stack([np.bincount((s >> np.uint64(8)).astype(np.int64) % dimensions, minlength=dimensions) for s in sets]).astype(np.int32)
         self.order = np.lexsort((*self.points[:, :4].T, self.sizes))
+        self.place = np.empty(len(sets), np.int64)
+        self.place[self.order] = np.arange(len(sets))
         self.levels = []  # per level: first, last point of each node in order, most of each coordinate, least and most size
         p, s, n = self.points[self.order], self.sizes[self.order], len(sets)
         low = np.arange(0, n, LEAF)
@@ -129,8 +102,7 @@ class CountTree:
 
     def search(self, i: int, clusters: Clusters, num: int, den: int) -> Iterator[np.ndarray]:
         """Points beyond i, in the tree's order, that may link with it and are in other clusters, leaf by leaf."""
-        place = int(np.flatnonzero(self.order == i)[0]) if not hasattr(self, "place") else int(self.place[i])
-        x, n = self.points[i], self.sizes[i]
+        place, x, n = int(self.place[i]), self.points[i], self.sizes[i]
         nodes = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             low, high, top, least, most = (a[nodes] for a in self.levels[depth])
@@ -164,8 +136,6 @@ def link(sets: list[np.ndarray], roots: np.ndarray | None = None, num: int = NUM
     """Cluster of each set, beginning from ``roots``: the components of all links between the sets."""
     clusters = Clusters(np.arange(len(sets)) if roots is None else roots)
     tree = CountTree(sets)
-    tree.place = np.empty(len(sets), np.int64)
-    tree.place[tree.order] = np.arange(len(sets))
     for i in tree.order.tolist():
         if len(clusters.members) == 1:
             break
@@ -178,128 +148,160 @@ def link(sets: list[np.ndarray], roots: np.ndarray | None = None, num: int = NUM
     return clusters.root
 
 
-def by_runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[tuple]]:
-    """Rows of consecutive equal keys, which are the first ``keys`` columns."""
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][:keys] != row[:keys]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+def _describe(words: int):
+    """Sizes and digests of a chunk's sets."""
+
+    def begin():
+        shingles = Shingler(words)
+
+        def of(parts: list[bytes]) -> tuple[bytes, bytes]:
+            sets = [shingles(p) for p in parts]
+            return np.array([len(s) for s in sets], "<i4").tobytes(), b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
 
+        return of
 
-def _crowds(docs: DataFrame, words: int) -> np.ndarray:
-    """For each hash group, 0 or, if it holds far more shingles than the mean, their number. 2 ** CROWD_BITS numbers."""
+    return begin
+
+
+def _sets(chunks: DataFrame) -> DataFrame:
+    """(chunk, place, doc_id, n, sig) of every document."""
+    schema = "chunk long, place long, doc_id long, n long, sig binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, total = Shingler(words), np.zeros(1 << CROWD_BITS, np.int64)
-        for batch in batches:
-            parts = [shingles(x.as_py()) for x in batch.column(0)]
-            if parts:
-                total += np.bincount((np.concatenate(parts) >> np.uint64(64 - CROWD_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["g", "n"])
-
-    counts = docs.mapInArrow(task, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    counts = materialise(counts, "crowds")
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << CROWD_BITS)
-    rows = counts.where(F.col("n") > mean + 10 * mean**0.5 + 10).toArrow()
-    out = np.zeros(1 << CROWD_BITS, np.int64)
-    out[rows["g"].to_numpy()] = rows["n"].to_numpy()
-    return out
-
-
-def _sets(docs: DataFrame, crowds: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, sig (a digest of the set), prefix (its first shingles in the common order, packed)."""
-    sent = docs.sparkSession.sparkContext.broadcast(crowds)
+        for chunk, ids, ns, sigs in rows_of(batches):
+            keys, sizes = np.frombuffer(ids, "<i8").tolist(), np.frombuffer(ns, "<i4").tolist()
+            yield batch_of(schema, [(chunk, i, k, n, sigs[16 * i : 16 * i + 16]) for i, (k, n) in enumerate(zip(keys, sizes, strict=True))])
+
+    return chunks.select("chunk", "ids", "ns", "sigs").mapInArrow(task, schema)
+
+
+def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
+    """bucket * 2**32 + 32 bits of a shingle's hash."""
+    return ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(LOW4))
+
+
+class Heads:
+    """The shingle keys of a chunk's vertices: keys (distinct, ascending), count of vertices, and each vertex's own."""
+
+    def __init__(self, shingles: Shingler, buckets: int, places: list[int], lengths: np.ndarray, raw: np.ndarray):
+        ends = np.cumsum(lengths)
+        self.places = sorted(places)
+        data = raw.tobytes()
+        sets = [np.unique(_keys(shingles(data[ends[i] - lengths[i] : ends[i]]), buckets)) for i in self.places]
+        self.owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        self.keys, self.at, self.count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+
+
+def _send_shingles(joined: DataFrame, buckets: int, words: int) -> DataFrame:
+    schema = "bucket long, chunk long, keys binary, counts binary"
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
+        for chunk, ids, lengths, text, places in rows_of(batches):
+            _, lengths, raw = unpack(ids, lengths, text)
+            heads = Heads(shingles, buckets, places, lengths, raw)
+            # Counts are mostly 1: only the others are written.
+            rows = []
+            for b, lo, hi in by_bucket(heads.keys >> np.uint64(32)):
+                more = np.flatnonzero(heads.count[lo:hi] > 1)
+                rows.append((b, chunk, low_bytes(heads.keys[lo:hi], 4), np.stack([more, heads.count[lo:hi][more]]).astype("<u4").tobytes()))
+            yield batch_of(schema, rows)
+
+    return joined.mapInArrow(task, schema)
+
+
+def _rarity(sent: DataFrame, partitions: int) -> DataFrame:
+    """(chunk, bucket, ranks): for each shingle that the chunk sent, twice the binary logarithm of its count, 4 bits."""
+    schema = "chunk long, bucket long, ranks binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, order = Shingler(words), sent.value
-        for batch in batches:
-            ns, sigs, prefixes = [], [], []
-            for text in batch.column(1):
-                h = shingles(text.as_py())
-                crowd = order[(h >> np.uint64(64 - CROWD_BITS)).astype(np.int64)]
-                k = prefix_length(len(h), num, den) if len(h) else 0
-                first = h[crowd == 0]
-                # Hashes are mixed, so the order within a crowd class may be any function of them: the hash itself.
-                first = first[:k] if len(first) >= k else h[np.lexsort((h, crowd))][:k]
-                ns.append(len(h))
-                sigs.append(blake2b(h.tobytes(), digest_size=16).digest())
-                prefixes.append(first.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "n", "sig", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n long, sig binary, prefix binary")
-
-
-def _packed(heads: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, rep, n, entries): per task's batch and bucket, the sets and the packed (5 bytes of hash, 2 of set) entries."""
+        for rows in runs(batches):
+            parts = [from_low_bytes(r[2], 4) for r in rows]
+            counts = []
+            for r, p in zip(rows, parts, strict=True):
+                count = np.ones(len(p), np.int64)
+                more, n = np.frombuffer(r[3], "<u4").reshape(2, -1)
+                count[more] = n
+                counts.append(count)
+            names, at = np.unique(np.concatenate(parts), return_inverse=True)
+            total = np.bincount(at, np.concatenate(counts), len(names))
+            rank = np.minimum(15, np.round(2 * np.log2(total))).astype(np.uint8)[at]
+            out = []
+            for r, x in zip(rows, np.split(rank, np.cumsum([len(p) for p in parts])[:-1]), strict=True):
+                x = np.append(x, np.zeros(len(x) % 2, np.uint8))
+                out.append((r[1], r[0], (x[::2] | (x[1::2] << 4)).tobytes()))
+            yield batch_of(schema, out)
+
+    return to_buckets(sent, partitions, task, schema)
+
+
+def _send_prefixes(joined: DataFrame, buckets: int, words: int, num: int, den: int) -> DataFrame:
+    """(bucket, chunk, keys, who, ids, ns): the shared ones of each vertex's first shingles, rare first."""
+    schema = "bucket long, chunk long, keys binary, who binary, ids binary, ns binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 1 << 15):
-                batch = whole.slice(low, 1 << 15)
-                reps, ns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                parts = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)]
-                h = np.concatenate(parts)
-                who = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(p) for p in parts])
-                # Prefixes hold the smallest hashes, so the bucket is taken from their mixed bits.
-                h = mix64(h)
-                bucket = (h >> np.uint64(40)) % np.uint64(buckets)
-                order = np.lexsort((h, bucket))
-                h, who, bucket = h[order], who[order], bucket[order]
-                names, at = np.unique(bucket, return_index=True)
-                rows = []
-                for b, lo, hi in zip(names.tolist(), at.tolist(), [*at[1:].tolist(), len(h)], strict=True):
-                    mine, local = np.unique(who[lo:hi], return_inverse=True)
-                    five = h[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                    rows.append((b, reps[mine].astype("<i8").tobytes(), ns[mine].astype("<i4").tobytes(), np.ascontiguousarray(five.T).tobytes(), local.astype("<u2").tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "reps", "ns", "hashes", "who"])
-
-    return heads.select("rep", "n", "prefix").mapInArrow(task, "bucket long, reps binary, ns binary, hashes binary, who binary")
-
-
-def _chains(packed: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
+        shingles = Shingler(words)
+        for chunk, ids, lengths, text, places, ranks in rows_of(batches):
+            ids, lengths, raw = unpack(ids, lengths, text)
+            heads = Heads(shingles, buckets, places, lengths, raw)
+            rank = np.zeros(len(heads.keys), np.uint8)
+            of = {x["bucket"]: x["ranks"] for x in ranks or ()}
+            for b, lo, hi in by_bucket(heads.keys >> np.uint64(32)):
+                two = np.frombuffer(of[b], np.uint8)
+                rank[lo:hi] = np.stack([two & 15, two >> 4], 1).ravel()[: hi - lo]
+            mine = rank[heads.at]
+            order = np.lexsort((heads.keys[heads.at], mine, heads.owner))
+            sizes = np.bincount(heads.owner, minlength=len(heads.places))
+            begin = np.cumsum(sizes) - sizes
+            nth = np.arange(len(order)) - begin[heads.owner[order]]
+            first = sizes - -(-num * sizes // den) + 2  # one more, in case that two keys of a set collide
+            use = order[(nth < first[heads.owner[order]]) & (mine[order] > 0)]
+            key, who = heads.keys[heads.at[use]], heads.owner[use]
+            place = ids[np.array(heads.places, np.int64)]
+            order = np.argsort(key, kind="stable")
+            key, who = key[order], who[order]
+            rows = []
+            for b, lo, hi in by_bucket(key >> np.uint64(32)):
+                names, local = np.unique(who[lo:hi], return_inverse=True)
+                rows.append((b, chunk, low_bytes(key[lo:hi], 4), local.astype("<u4").tobytes(), place[names].astype("<i8").tobytes(), sizes[names].astype("<i8").tobytes()))
+            yield batch_of(schema, rows)
+
+    return joined.mapInArrow(task, schema)
+
+
+def _chains(sent: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) from each set to the first of those it hangs together with in a bucket."""
 
     def of_bucket(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        hs, reps, ns = [], [], []
-        for _, r, n, five, who in rows:
-            raw = np.frombuffer(five, np.uint8).reshape(5, -1)
-            h = np.zeros((raw.shape[1], 8), np.uint8)
-            h[:, :5] = raw.T
-            who = np.frombuffer(who, "<u2")
-            hs.append(h.view("<u8").ravel())
-            reps.append(np.frombuffer(r, "<i8")[who])
-            ns.append(np.frombuffer(n, "<i4")[who])
-        h, rep, n = np.concatenate(hs), np.concatenate(reps), np.concatenate(ns).astype(np.int64)
-        # Only hashes that occur twice matter.
-        order = np.argsort(h, kind="stable")
-        h, rep, n = h[order], rep[order], n[order]
-        same = h[1:] == h[:-1]
-        more = np.append(same, False) | np.insert(same, 0, False)
-        h, rep, n = h[more], rep[more], n[more]
+        who = [np.frombuffer(r[3], "<u4") for r in rows]
+        h = np.concatenate([from_low_bytes(r[2], 4) for r in rows])
+        rep = np.concatenate([np.frombuffer(r[4], "<i8")[w] for r, w in zip(rows, who, strict=True)])
+        n = np.concatenate([np.frombuffer(r[5], "<i8")[w] for r, w in zip(rows, who, strict=True)])
         order = np.lexsort((rep, n, h))
         h, rep, n = h[order], rep[order], n[order]
         near = (h[1:] == h[:-1]) & (n[:-1] * den >= n[1:] * num) & (rep[1:] != rep[:-1])
         return rep[1:][near], rep[:-1][near]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for rows in by_runs(batches):
-            x, y = of_bucket(rows)
-            a.append(x)
-            b.append(y)
-        if not a:
-            return
-        x, y = stars(np.concatenate(a), np.concatenate(b))
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+        parts = [stars(*of_bucket(rows)) for rows in runs(batches)]
+        if parts:
+            x, y = stars(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    return to_buckets(sent, partitions, task, "a long, b long")
+
+
+def _texts(joined: DataFrame) -> DataFrame:
+    """(comp, size, rep, text) of the wanted documents of each chunk."""
+    schema = "comp long, size long, rep long, text binary"
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, lengths, text, wanted in rows_of(batches):
+            ids, lengths, raw = unpack(ids, lengths, text)
+            data, ends = raw.tobytes(), np.cumsum(lengths)
+            yield batch_of(schema, [(w["comp"], w["size"], int(ids[w["place"]]), data[ends[w["place"]] - lengths[w["place"]] : ends[w["place"]]]) for w in wanted])
 
-    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(task, "a long, b long")
+    return joined.mapInArrow(task, schema)
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,7 +331,7 @@ def _verify(rows: DataFrame, words: int, num: int, den: int, partitions: int) ->
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
-        for rows_ in by_runs(batches):
+        for rows_ in runs(batches):
             if len(rows_) < 2:
                 continue
             reps = np.array([r[1] for r in rows_], np.int64)
@@ -384,24 +386,26 @@ def _large(rows: DataFrame, words: int, num: int, den: int, group: int, partitio
     return links.unionByName(found)
 
 
-def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("doc_id"), F.col(text_col).alias("text"))
-    crowds = _crowds(docs.select("text"), words)
-    sets = materialise(_sets(docs, crowds, words, num, den), "sets")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * partitions
+    chunks = build(with_ids(docs, id_col, text_col), partitions, chunk_bytes, _describe(words), ", ns binary, sigs binary")
+    sets = materialise(_sets(chunks), "sets")
     whole = sets.where("n > 0")
-    groups = whole.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("head"), F.count(F.lit(1)).alias("size"))
-    heads = groups.select("sig", F.col("head.doc_id").alias("rep"), "size", F.col("head.n").alias("n"), F.col("head.prefix").alias("prefix"))
-    heads = materialise(heads, "heads")
-    chains = materialise(_chains(_packed(heads, 4 * partitions), partitions, num, den), "chains")
-    coarse = materialise(components(chains), "coarse")
-    counted = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    # One row of text per vertex: a head's own text, or that of any row with its id.
-    wanted = coarse.join(counted, "component").select(F.col("component").alias("comp"), "size", F.col("node").alias("rep"))
-    texts = docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["rep"]).select("comp", "size", "rep", "text")
-    texts = materialise(texts, "candidates")
+    heads = whole.groupBy("sig").agg(F.min(F.struct("doc_id", "chunk", "place")).alias("head"), F.count(F.lit(1)).alias("size"))
+    heads = materialise(heads.select("sig", "size", F.col("head.doc_id").alias("rep"), F.col("head.chunk").alias("chunk"), F.col("head.place").alias("place")), "heads")
+    # One row of places per chunk: as many numbers as the chunk has documents.
+    places = heads.groupBy("chunk").agg(F.collect_list("place").alias("places"))
+    joined = chunks.join(places.hint("merge"), "chunk").select("chunk", "ids", "lengths", "text", "places")
+    ranks = _rarity(_send_shingles(joined, buckets, words), partitions)
+    ranks = materialise(ranks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ranks")).alias("ranks")), "ranks")
+    ranked = joined.join(ranks.hint("merge"), "chunk").select("chunk", "ids", "lengths", "text", "places", "ranks")
+    coarse = materialise(components(_chains(_send_prefixes(ranked, buckets, words, num, den), partitions, num, den)), "coarse")
+    counted = materialise(coarse.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "coarse-sizes")
+    wanted = coarse.join(counted, "component").select(F.col("node").alias("rep"), F.col("component").alias("comp"), "size")
+    wanted = heads.drop("size").join(wanted, "rep").groupBy("chunk").agg(F.collect_list(F.struct("place", "comp", "size")).alias("wanted"))
+    texts = materialise(_texts(chunks.join(wanted.hint("merge"), "chunk").select("ids", "lengths", "text", "wanted")), "candidates")
     small = texts.where(F.col("size") <= group).select(F.col("comp").cast("string").alias("grp"), "rep", F.monotonically_increasing_id().alias("root"), "text")
     links = materialise(_verify(small, words, num, den, partitions), "links")
     if not counted.where(F.col("size") > group).isEmpty():
@@ -409,10 +413,9 @@ def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
     labels = components(links)
     named = heads.select("sig", "rep", "size").join(labels, F.col("rep") == F.col("node"), "left").select("sig", "size", F.coalesce("component", "rep").alias("component_id"))
     named = materialise(named, "named")
-    total = sets.count()
-    rows = join_groups(whole.select("doc_id", "n", "sig"), named, "sig", "size", total).select("doc_id", "n", "component_id")
+    rows = join_groups(whole.select("doc_id", "n", "sig"), named, "sig", "size", sets.count()).select("doc_id", "n", "component_id")
     rows = rows.unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    real: Callable = lambda c: F.when(F.col(c) != NONE, F.col(c)).alias(c)
+    real = lambda c: F.when(F.col(c) != NONE, F.col(c)).alias(c)
     return rows.select(real("doc_id"), F.col("n").alias("n_shingles"), real("component_id"))
 
 

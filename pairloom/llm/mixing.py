@@ -69,44 +69,65 @@ def _cut(rows: DataFrame, shift: int) -> DataFrame:
     return edge.select("source", "need", "m.bucket", "m.below", "m.inside")
 
 
-def mix(docs: DataFrame, weights: list[float], max_repeat: float = 3.0, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes), source, passes (times the document is taken)."""
-    base = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h")), "sizes")
-    # Whole passes of the source, then a threshold for what remains.
-    plan = materialise(
+def with_key(df: DataFrame) -> DataFrame:
+    """source as two columns without nulls, so that joins find the null source."""
+    return df.withColumn("known", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
+
+
+def thresholds(base: DataFrame, weights: list[float], max_repeat: float) -> tuple[DataFrame, bool]:
+    """Per source (source, known): source_size, target, whole (passes of every document) and threshold (of the hash, for
+    one pass more); and whether there are few enough rows to broadcast. ``base`` has source, size, h."""
+    plan = (
         targets(base, weights, max_repeat)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")),
-        "targets",
+        .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     )
+    plan = materialise(with_key(plan), "plan")
     small = plan.count() <= BROADCAST_SOURCES
     hint = F.broadcast if small else lambda x: x
-
-    def with_key(df: DataFrame) -> DataFrame:
-        return df.withColumn("known", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
-
-    keyed_plan = materialise(with_key(plan), "plan")
-    left = with_key(base).join(hint(keyed_plan.select("source", "known", "need")), ["source", "known"]).where("size > 0 and need > 0")
+    left = with_key(base).join(hint(plan.select("source", "known", "need")), ["source", "known"]).where("size > 0 and need > 0")
     left = left.withColumn("source", F.struct("source", "known"))
     prefix = None
     for level in range(LEVELS):
         shift = HASH_BITS * (LEVELS - 1 - level)
         edge = materialise(_cut(left, shift), f"edge{level}")
-        at = edge.select("source", "bucket", "below", "inside")
         part = edge.select("source", F.shiftleft(F.col("bucket").cast("long"), shift).alias(f"b{level}"), (F.col("need") - F.col("below")).alias(f"gap{level}"), F.col("inside").alias(f"in{level}"))
         prefix = part if prefix is None else prefix.join(part, "source", "left")
         if level < LEVELS - 1:
-            left = left.join(hint(at), "source").where(F.shiftright("h", shift).bitwiseAND((1 << HASH_BITS) - 1) == F.col("bucket"))
-            left = left.select("source", "h", "size", (F.col("need") - F.col("below")).alias("need"))
-            left = materialise(left, f"boundary{level}")
+            left = left.join(hint(edge.select("source", "bucket", "below")), "source").where(F.shiftright("h", shift).bitwiseAND((1 << HASH_BITS) - 1) == F.col("bucket"))
+            left = materialise(left.select("source", "h", "size", (F.col("need") - F.col("below")).alias("need")), f"boundary{level}")
     # The last bucket is one hash: take it if that comes nearer to the budget.
     last = LEVELS - 1
     threshold = reduce(lambda a, b: a + b, [F.coalesce(f"b{i}", F.lit(0)) for i in range(LEVELS)])
     cut = prefix.select(F.col("source.source").alias("source"), F.col("source.known").alias("known"), (threshold + F.when(F.col(f"gap{last}") * 2 >= F.col(f"in{last}"), 1).otherwise(0)).alias("threshold"))
-    final = materialise(keyed_plan.join(cut, ["source", "known"], "left").withColumn("threshold", F.coalesce("threshold", F.when(F.col("need") > 0, F.lit(1 << 60)).otherwise(F.lit(0)))), "thresholds")
-    out = with_key(base).join(hint(final), ["source", "known"])
-    passes = F.when(F.col("size") > 0, F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")).otherwise(F.lit(0)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * passes).alias("taken"), F.when(F.col("known"), F.col("source")).alias("source"), passes.alias("passes"))
+    everything = F.when(F.col("need") > 0, F.lit(1 << 60)).otherwise(F.lit(0))
+    return materialise(plan.join(cut, ["source", "known"], "left").withColumn("threshold", F.coalesce("threshold", everything)), "thresholds"), small
+
+
+def passes(size: Column, h: Column) -> Column:
+    return F.when(size > 0, F.col("whole") + (h < F.col("threshold")).cast("long")).otherwise(F.lit(0)).cast("long")
+
+
+def sizes(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h"))
+    return materialise(rows, "sizes")
+
+
+def mix(docs: DataFrame, weights: list[float], max_repeat: float = 3.0) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words the mix takes), source, passes (times the document is taken)."""
+    base = sizes(docs)
+    final, small = thresholds(base, weights, max_repeat)
+    out = with_key(base).join(F.broadcast(final) if small else final, ["source", "known"]).withColumn("passes", passes(F.col("size"), F.col("h")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), F.when(F.col("known"), F.col("source")).alias("source"), "passes")
+
+
+def repeat(docs: DataFrame, weights: list[float], max_repeat: float = 3.0) -> DataFrame:
+    """The documents, with all their columns, as often as the mix takes them: a filter on the hash, so texts never move."""
+    final, small = thresholds(sizes(docs), weights, max_repeat)
+    final = final.select(F.col("source").alias("_source"), F.col("known").alias("_known"), "whole", "threshold")
+    same = (F.coalesce(docs["source"], F.lit("")) == F.col("_source")) & (docs["source"].isNotNull() == F.col("_known"))
+    often = docs.join(F.broadcast(final) if small else final, same).withColumn("_n", passes(word_count(docs["text"]), id_hash(docs["doc_id"])))
+    return often.where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[docs[c] for c in docs.columns])
 
 
 WEIGHTS = [5.0, 2.0, 1.0]

@@ -28,30 +28,19 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialise, scratch_path, table
+from pairloom.llm.chunks import CHUNK_BYTES, NONE, SpanHash, batch_of, build, by_bucket, from_low_bytes, low_bytes, ranges, rows_of, runs, to_buckets, unpack, with_ids
+from pairloom.llm.common import materialise, table
 
 WIDTH = 50
 GRAM = 20
 #: A perfect difference set: every shift modulo PERIOD is a difference of two of its members.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-CHUNK_BYTES = 1 << 20
-BASE = 0x9E3779B97F4A7C15
-MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-NONE = -(1 << 63)
 LOW5 = (1 << 40) - 1
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
-    return x ^ (x >> np.uint64(31))
-
-
 class Anchors:
     """Anchors of a chunk: arrays doc (place in the chunk), low, high (suffixes low..high-1 of the chunk), key, form.
 
@@ -59,28 +48,15 @@ class Anchors:
     """
 
     def __init__(self, buckets: int):
-        self.buckets = buckets
-        self.values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-        self.size = 0
-
-    def _grow(self, n: int) -> None:
-        def run(base: int) -> np.ndarray:
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            return np.multiply.accumulate(out)
-
-        self.size, self.powers, self.inverse = n, run(BASE), run(pow(BASE, -1, 1 << 64))
+        self.buckets, self.hash = buckets, SpanHash()
 
     def of(self, raw: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
         n = len(raw)
-        ends = np.cumsum(lengths)
         if n < WIDTH:
             return {k: np.zeros(0, np.int64) for k in ("doc", "low", "high")} | {k: np.zeros(0, np.uint64) for k in ("key", "form")}
-        if n + 1 > self.size:
-            self._grow(max(1 << 16, 2 * n))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values[raw] * self.powers[:n], out=sums[1:])
-        grams = mix64((sums[GRAM:] - sums[:-GRAM]) * self.inverse[: n - GRAM + 1])
+        sums = self.hash.sums(raw)
+        at = np.arange(n - GRAM + 1)
+        grams = self.hash.spans(sums, at, at + GRAM)
         # 40 bits of the hash, then 24 of the place: the least is the leftmost of the least. Longer chunks go in parts.
         reach, suffixes = WIDTH - GRAM + 1, n - WIDTH + 1
         place = np.empty(suffixes, np.int64)
@@ -104,17 +80,10 @@ class Anchors:
         h = grams[place[low]]
         key = ((h >> np.uint64(40)) % np.uint64(self.buckets) << np.uint64(40)) | (h & np.uint64(LOW5))
         stop = high + WIDTH - 1
-        form = mix64((sums[stop] - sums[low]) * self.inverse[low] + (stop - low).astype(np.uint64))
-        assert len(ends) == 0 or ends[-1] == n
+        form = self.hash.spans(sums, low, stop)
         return {"doc": doc[low], "low": low, "high": high, "key": key, "form": form}
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """start, start + 1, .. for each start, count numbers each."""
-    total = int(counts.sum())
-    return np.arange(total) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-
-
 def _words(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as a big-endian number; zeros beyond the end."""
     x = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -241,101 +210,36 @@ def owners(text: np.ndarray, lengths: np.ndarray, docs: np.ndarray, width: int =
     return which, of[at]
 
 
-def _chunks(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
-    """(chunk, ids, lengths, text): documents packed and compressed; a table bucketed by chunk in the shared folder."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(3)
-        base, n = TaskContext.get().partitionId() << 33, 0
-        ids, parts, size = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            nonlocal ids, parts, size, n
-            row = [[base + n], [np.array(ids, "<i8").tobytes()], [np.array([len(p) for p in parts], "<i8").tobytes()], [pack.compress(b"".join(parts))]]
-            ids, parts, size, n = [], [], 0, n + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["chunk", "ids", "lengths", "text"])
-
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
-                if parts and size + len(raw) > chunk_bytes:
-                    yield out()
-                ids.append(key)
-                parts.append(raw)
-                size += len(raw)
-        if parts:
-            yield out()
-
-    spark = docs.sparkSession
-    name = "chunks_" + scratch_path(spark, "chunks")[-12:]
-    rows = docs.mapInArrow(task, "chunk long, ids binary, lengths binary, text binary").repartition(buckets, "chunk")
-    rows.write.format("parquet").option("compression", "uncompressed").option("path", scratch_path(spark, "chunks")).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
-    return spark.table(name)
-
-
-def _unpack(ids: bytes, lengths: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    import zstandard
-
-    return np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i8"), np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
-
-
-def _by_bucket(names: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Bucket, first and last place of each run of a sorted array of buckets."""
-    found, at = np.unique(names, return_index=True)
-    yield from zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(names)], strict=True)
-
-
 def _send_anchors(chunks: DataFrame, buckets: int) -> DataFrame:
+    schema = "bucket long, chunk long, keys binary"
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(buckets)
-        for batch in batches:
-            for chunk, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, lengths, raw = _unpack(*packed)
-                keys = np.unique(anchors.of(raw, lengths)["key"])
-                rows = [(b, chunk, np.ascontiguousarray(keys[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()) for b, lo, hi in _by_bucket(keys >> np.uint64(40))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "chunk", "keys"])
-
-    return chunks.select("chunk", "ids", "lengths", "text").mapInArrow(task, "bucket long, chunk long, keys binary")
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of consecutive equal first columns."""
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][0] != row[0]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+        for chunk, *packed in rows_of(batches):
+            _, lengths, raw = unpack(*packed)
+            keys = np.unique(anchors.of(raw, lengths)["key"])
+            yield batch_of(schema, [(b, chunk, low_bytes(keys[lo:hi], 5)) for b, lo, hi in by_bucket(keys >> np.uint64(40))])
+
+    return chunks.select("chunk", "ids", "lengths", "text").mapInArrow(task, schema)
 
 
 def _shared_bits(sent: DataFrame, partitions: int) -> DataFrame:
     """(chunk, bucket, bits): for each anchor that the chunk sent to the bucket, whether another chunk has it."""
+    schema = "chunk long, bucket long, bits binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches):
-            parts = []
-            for _, _, five in rows:
-                raw = np.frombuffer(five, np.uint8).reshape(5, -1)
-                h = np.zeros((raw.shape[1], 8), np.uint8)
-                h[:, :5] = raw.T
-                parts.append(h.view("<u8").ravel())
-            whole = np.concatenate(parts)
-            ordered = np.sort(whole)
+        for rows in runs(batches):
+            parts = [from_low_bytes(r[2], 5) for r in rows]
+            ordered = np.sort(np.concatenate(parts))
             twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-            bits = []
-            for p in parts:
+            out = []
+            for r, p in zip(rows, parts, strict=True):
                 at = np.searchsorted(twice, p)
                 at[at == len(twice)] = 0
-                bits.append(np.packbits(twice[at] == p if len(twice) else np.zeros(len(p), bool)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array(bits, pa.binary())], names=["chunk", "bucket", "bits"])
+                out.append((r[1], r[0], np.packbits(twice[at] == p if len(twice) else np.zeros(len(p), bool)).tobytes()))
+            yield batch_of(schema, out)
 
-    return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(task, "chunk long, bucket long, bits binary")
+    return to_buckets(sent, partitions, task, schema)
 
 
 def _shared(anchors: Anchors, ids: np.ndarray, lengths: np.ndarray, raw: np.ndarray, bits: dict[int, bytes]) -> dict[str, np.ndarray]:
@@ -343,7 +247,7 @@ def _shared(anchors: Anchors, ids: np.ndarray, lengths: np.ndarray, raw: np.ndar
     found = anchors.of(raw, lengths)
     keys, at = np.unique(found["key"], return_inverse=True)
     wide = np.zeros(len(keys), bool)
-    for b, lo, hi in _by_bucket(keys >> np.uint64(40)):
+    for b, lo, hi in by_bucket(keys >> np.uint64(40)):
         if b in bits:
             wide[lo:hi] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=hi - lo).astype(bool)
     who = ids[found["doc"]]
@@ -358,26 +262,25 @@ def _shared(anchors: Anchors, ids: np.ndarray, lengths: np.ndarray, raw: np.ndar
 
 
 def _send_slices(joined: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, keys, docs, lengths, text): the slices of shared anchors, of each distinct one its smallest doc."""
+    """(bucket, chunk, keys, docs, sizes, text): the slices of shared anchors, of each distinct one its smallest doc."""
+    schema = "bucket long, chunk long, keys binary, docs binary, sizes binary, text binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         anchors, pack = Anchors(buckets), zstandard.ZstdCompressor(3)
-        for batch in batches:
-            for chunk, ids, lengths, text, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, lengths, raw = _unpack(ids, lengths, text)
-                found = _shared(anchors, ids, lengths, raw, {x["bucket"]: x["bits"] for x in bits or ()})
-                f = found["first"]
-                key, doc, low, size = found["key"][f], found["id"][f], found["low"][f], (found["high"] - found["low"])[f] + WIDTH - 1
-                rows = []
-                for b, lo, hi in _by_bucket(key >> np.uint64(40)):
-                    data = raw[ranges(low[lo:hi], size[lo:hi])].tobytes()
-                    rows.append((b, chunk, (key[lo:hi] & np.uint64(LOW5)).astype("<u8").tobytes(), doc[lo:hi].astype("<i8").tobytes(), size[lo:hi].astype("<u1").tobytes(), pack.compress(data)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "chunk", "keys", "docs", "sizes", "text"])
-
-    return joined.mapInArrow(task, "bucket long, chunk long, keys binary, docs binary, sizes binary, text binary")
+        for chunk, ids, lengths, text, bits in rows_of(batches):
+            ids, lengths, raw = unpack(ids, lengths, text)
+            found = _shared(anchors, ids, lengths, raw, {x["bucket"]: x["bits"] for x in bits or ()})
+            f = found["first"]
+            key, doc, low, size = found["key"][f], found["id"][f], found["low"][f], (found["high"] - found["low"])[f] + WIDTH - 1
+            rows = []
+            for b, lo, hi in by_bucket(key >> np.uint64(40)):
+                data = raw[ranges(low[lo:hi], size[lo:hi])].tobytes()
+                rows.append((b, chunk, low_bytes(key[lo:hi], 5), doc[lo:hi].astype("<i8").tobytes(), size[lo:hi].astype("<u1").tobytes(), pack.compress(data)))
+            yield batch_of(schema, rows)
+
+    return joined.mapInArrow(task, schema)
 
 
 def masks(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, text: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -423,77 +326,74 @@ def masks(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, text: np.ndarra
 
 def _answer_slices(sent: DataFrame, partitions: int) -> DataFrame:
     """(chunk, bucket, masks): a mask for each slice that the chunk sent to the bucket."""
+    schema = "chunk long, bucket long, masks binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
-        for rows in _runs(batches):
-            keys = np.concatenate([np.frombuffer(r[2], "<u8") for r in rows])
+        unzip = zstandard.ZstdDecompressor().decompress
+        for rows in runs(batches):
+            keys = np.concatenate([from_low_bytes(r[2], 5) for r in rows])
             docs = np.concatenate([np.frombuffer(r[3], "<i8") for r in rows])
             sizes = np.concatenate([np.frombuffer(r[4], "<u1") for r in rows]).astype(np.int64)
-            text = np.concatenate([np.frombuffer(unpack.decompress(r[5]), np.uint8) for r in rows])
+            text = np.concatenate([np.frombuffer(unzip(r[5]), np.uint8) for r in rows])
             found = np.split(masks(keys, docs, sizes, text).astype("<u4"), np.cumsum([len(r[4]) for r in rows])[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["chunk", "bucket", "masks"])
+            yield batch_of(schema, [(r[1], r[0], x.tobytes()) for r, x in zip(rows, found, strict=True)])
 
-    return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(task, "chunk long, bucket long, masks binary")
+    return to_buckets(sent, partitions, task, schema)
 
 
-def _remove(joined: DataFrame, buckets: int, with_text: bool) -> DataFrame:
-    """Per document: what is removed; with the remaining text if asked for."""
+def _remove(joined: DataFrame, buckets: int) -> DataFrame:
+    """Per document: what is removed, and the remaining bytes."""
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(buckets)
-        for batch in batches:
-            for _, ids, lengths, text, bits, sent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, lengths, raw = _unpack(ids, lengths, text)
-                found = _shared(anchors, ids, lengths, raw, {x["bucket"]: x["bits"] for x in bits or ()})
-                f = found["first"]
-                names = found["key"][f] >> np.uint64(40)
-                own = {x["bucket"]: x["masks"] for x in sent or ()}
-                mask = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(own[b], "<u4").astype(np.uint64) for b, _, _ in _by_bucket(names))])
-                group = np.cumsum(f) - 1
-                size = found["high"] - found["low"]
-                full = (np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)
-                mine = np.where(found["id"] > found["id"][f][group], full, mask[group]) if len(group) else np.zeros(0, np.uint64)
-                at = ranges(found["low"], size)
-                nth = ranges(np.zeros(len(size), np.int64), size)
-                lost = at[(np.repeat(mine, size) >> nth.astype(np.uint64)) & np.uint64(1) == 1]
-                edges = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(edges, lost, 1)
-                np.add.at(edges, lost + WIDTH, -1)
-                gone = np.cumsum(edges[:-1]) > 0
-                rows = []
-                end = np.cumsum(lengths)
-                for key, a, b in zip(ids.tolist(), (end - lengths).tolist(), end.tolist(), strict=True):
-                    g = gone[a:b]
-                    n = int(np.count_nonzero(g))
-                    spans = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if n else 0
-                    rest = raw[a:b][~g].tobytes() if n else raw[a:b].tobytes()
-                    rows.append((None if key == NONE else key, b - a, n, spans, sha256(rest).hexdigest(), rest if with_text else None))
-                kinds = (*[pa.int64()] * 4, pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return joined.mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; kept (the remaining bytes) if asked for."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for _, ids, lengths, text, bits, sent in rows_of(batches):
+            ids, lengths, raw = unpack(ids, lengths, text)
+            found = _shared(anchors, ids, lengths, raw, {x["bucket"]: x["bits"] for x in bits or ()})
+            f = found["first"]
+            own = {x["bucket"]: x["masks"] for x in sent or ()}
+            mask = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(own[b], "<u4").astype(np.uint64) for b, _, _ in by_bucket(found["key"][f] >> np.uint64(40)))])
+            group = np.cumsum(f) - 1
+            size = found["high"] - found["low"]
+            full = (np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)
+            mine = np.where(found["id"] > found["id"][f][group], full, mask[group]) if len(group) else np.zeros(0, np.uint64)
+            at = ranges(found["low"], size)
+            nth = ranges(np.zeros(len(size), np.int64), size)
+            lost = at[(np.repeat(mine, size) >> nth.astype(np.uint64)) & np.uint64(1) == 1]
+            edges = np.zeros(len(raw) + 1, np.int32)
+            np.add.at(edges, lost, 1)
+            np.add.at(edges, lost + WIDTH, -1)
+            gone = np.cumsum(edges[:-1]) > 0
+            rows = []
+            end = np.cumsum(lengths)
+            for key, a, b in zip(ids.tolist(), (end - lengths).tolist(), end.tolist(), strict=True):
+                g = gone[a:b]
+                n = int(np.count_nonzero(g))
+                spans = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if n else 0
+                rest = (raw[a:b][~g] if n else raw[a:b]).tobytes()
+                rows.append((None if key == NONE else key, b - a, n, spans, sha256(rest).hexdigest(), rest))
+            yield batch_of(schema, rows)
+
+    return joined.mapInArrow(task, schema)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions
-    chunks = _chunks(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("doc_id"), F.col(text_col).alias("text")), partitions, chunk_bytes)
+    chunks = build(with_ids(docs, id_col, text_col), partitions, chunk_bytes)
     bits = _shared_bits(_send_anchors(chunks, buckets), partitions)
     bits = materialise(bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "bits")
     joined = chunks.join(bits.hint("merge"), "chunk", "left").select("chunk", "ids", "lengths", "text", "bits")
     answers = _answer_slices(_send_slices(joined, buckets), partitions)
     answers = materialise(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks")), "masks")
-    out = _remove(joined.join(answers.hint("merge"), "chunk", "left").select("chunk", "ids", "lengths", "text", "bits", "masks"), buckets, with_text)
-    return out if with_text else out.drop("kept")
+    return _remove(joined.join(answers.hint("merge"), "chunk", "left").select("chunk", "ids", "lengths", "text", "bits", "masks"), buckets)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents"))
+    return deduplicate(table(spark, sf_dir, "documents")).drop("kept")
 
 
 QUERIES = {"op9_suffix_dedup": op9_suffix_dedup}
