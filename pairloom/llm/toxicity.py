@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ FEATURES = 6000
 #: Least squared z of the difference between the classes' rates for a feature to be used.
 GAIN = 14.0
 PREFIXES = (4, 5, 6)
+#: Hash groups of the first count of features.
+GROUPS = 1 << 21
 PENALTY = 1.0
 RIDGE = 2e-4
 THRESHOLD = 0.7
@@ -85,24 +88,37 @@ def fit(texts: list[str], labels: list[int], penalty: float = PENALTY, rounds: i
     y = np.array(labels, np.float64)
     if not 0 < y.sum() < len(y):
         return Model({}, -40.0)
-    sets = [{f for w in words(t) for f in word_features(w)} for t in texts]
+    n, n1 = len(y), y.sum()
+    rate = n1 / n
+
+    def gains(c: np.ndarray, c1: np.ndarray) -> np.ndarray:
+        """Squared z of how much a feature's rate among toxic documents differs from what its count lets expect."""
+        return np.where(c >= 3, (c1 - c * rate) ** 2 / (c * rate * (1 - rate) * (1 - c / (n + 1)) + 1e-9), 0.0)
+
+    # Counted by hash first: names are kept only of features in hash groups that may matter.
+    groups = [np.unique(np.array([crc32(f.encode()) % GROUPS for w in words(t) for f in word_features(w)], np.int32)) for t in texts]
+    c = np.bincount(np.concatenate(groups), minlength=GROUPS)
+    c1 = np.bincount(np.concatenate([g for g, label in zip(groups, labels, strict=True) if label]), minlength=GROUPS)
+    use = gains(c, c1) >= GAIN
+    kinds = [sorted(kind) for kind in IDENTITY]
+    terms = {f for kind in kinds for t in kind for f in word_features(t)}
+    use[[crc32(t.encode()) % GROUPS for t in terms]] = True
+    del groups
+    sets = [{f for w in words(t) for f in word_features(w) if use[crc32(f.encode()) % GROUPS]} for t in texts]
     seen, bad = Counter(), Counter()
     for s, label in zip(sets, labels, strict=True):
         seen.update(s)
         if label:
             bad.update(s)
     # The features whose rate differs most between the classes; ties by name.
-    n, n1 = len(y), y.sum()
-    rate = n1 / n
-    gain = {f: (bad[f] - c * rate) ** 2 / (c * rate * (1 - rate) * (1 - c / (n + 1)) + 1e-9) for f, c in seen.items() if c >= 3}
-    gain = {f: g for f, g in gain.items() if g >= GAIN}
-    kinds = [sorted(t for t in kind) for kind in IDENTITY]
-    terms = {t for kind in kinds for t in kind}
-    names = sorted(sorted(gain, key=lambda f: (-gain[f], f))[:FEATURES])
-    names = sorted(set(names) | {f for t in terms for f in word_features(t) if f in seen})
+    listed = sorted(seen)
+    gain = dict(zip(listed, gains(np.array([seen[f] for f in listed]), np.array([bad[f] for f in listed])).tolist(), strict=True))
+    names = sorted((f for f in listed if gain[f] >= GAIN), key=lambda f: (-gain[f], f))[:FEATURES]
+    names = sorted(set(names) | (terms & set(listed)))
     index = {f: i for i, f in enumerate(names)}
-    rows = np.concatenate([np.full(len(r), i) for i, s in enumerate(sets) if (r := [f for f in s if f in index])] or [np.zeros(0)]).astype(np.int64)
-    cols = np.array([index[f] for s in sets for f in sorted(s) if f in index], np.int64)
+    found = [sorted(index[f] for f in s if f in index) for s in sets]
+    rows = np.repeat(np.arange(n), [len(r) for r in found])
+    cols = np.array([i for r in found for i in r], np.int64)
     # Swaps: what enters and what leaves the feature set when one term stands for another.
     swaps: Counter = Counter()
     for s in sets:
