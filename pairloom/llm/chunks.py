@@ -66,6 +66,8 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def by_bucket(names: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Bucket, first and last place of each run of a sorted array of buckets."""
+    if not len(names):
+        return
     found, at = np.unique(names, return_index=True)
     yield from zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(names)], strict=True)
 
