@@ -55,7 +55,8 @@ class Packer:
         self.tokens, self.losses, self.counts = np.zeros(64, np.int64), np.zeros(64, np.int64), np.zeros(64, np.int64)
         self.items: list[list[Item]] = []
         self.held = 0
-        self.bin: list[int] | None = None  # free tokens, segments, loss tokens
+        self.bin: list[int] | None = None  # free tokens, segments, loss tokens of the open sequence
+        self.sequence = first_sequence
         self.pieces: list[tuple] = []
 
     def add(self, key, ids: np.ndarray, loss: np.ndarray | None = None) -> None:
@@ -113,7 +114,8 @@ class Packer:
         lim = self.limits
         while self.held > keep:
             if self.bin is None:
-                self.bin = list(lim)
+                self.bin, self.sequence = list(lim), self.next
+                self.next += 1
             free, segments, loss = self.bin
             n = len(self.items)
             t, s = self.tokens[:n], self.losses[:n]
@@ -132,18 +134,15 @@ class Packer:
                     self._shut()
                     continue
             size = len(item.ids) if size is None else size
-            self._emit(item, size, self.next, lim.tokens - free)
+            self._emit(item, size, self.sequence, lim.tokens - free)
             if size < len(item.ids):
                 self._hold(self._rest(item, size))
             self.bin = [free - size, segments - 1, loss - (size if item.loss is None else int(item.loss[size] - item.loss[0]))]
             if self.bin[0] == 0 or self.bin[1] == 0 or (self.bin[2] <= 0 and lim.loss >= lim.tokens):
                 self._shut()
-        if keep == 0 and self.bin is not None and self.bin[0] < lim.tokens:
-            self._shut()
 
     def _shut(self) -> None:
         self.bin = None
-        self.next += 1
 
 
 def encoder(path: str, pattern: str, specials: dict[str, int]):
