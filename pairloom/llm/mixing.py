@@ -2,8 +2,8 @@
 
 Every document has a 60-bit hash of its id. A first histogram sums tokens by source and the top HASH_BITS of the hash;
 the source's budget falls into one boundary bucket, and only that bucket is split again by the next bits, until the
-hash is used up. What lies below the threshold is taken: a filter, never a sort of documents. A larger budget takes a
-superset of a smaller one.
+hash is used up. What lies below the threshold is taken: a filter, never a sort of documents; thresholds are nested, as a
+larger budget has a larger one. What one document at the threshold leaves open is filled by a second, smaller round.
 
 Defined results: a null or blank text has size 0 and takes nothing; the null source is a source of its own, the last;
 rows with equal ids (or equal hashes) stand or fall together; an empty table gives no rows; extra columns are ignored.
@@ -74,9 +74,28 @@ def with_key(df: DataFrame) -> DataFrame:
     return df.withColumn("known", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
 
 
+def _boundary(left: DataFrame, hint, tag: str) -> DataFrame:
+    """Per source of ``left`` (source, h, size, need): cut, the hash at which need is exceeded (no row if it never is),
+    gap (what is lacking below it) and inside (the size at it). Each level keeps only its boundary bucket's rows."""
+    prefix = None
+    for level in range(LEVELS):
+        shift = HASH_BITS * (LEVELS - 1 - level)
+        edge = materialise(_cut(left, shift), f"{tag}-edge{level}")
+        part = edge.select("source", F.shiftleft(F.col("bucket").cast("long"), shift).alias(f"b{level}"), (F.col("need") - F.col("below")).alias("gap"), "inside")
+        prefix = part if prefix is None else prefix.drop("gap", "inside").join(part, "source")
+        if level < LEVELS - 1:
+            left = left.join(hint(edge.select("source", "bucket", "below")), "source").where(F.shiftright("h", shift).bitwiseAND((1 << HASH_BITS) - 1) == F.col("bucket"))
+            left = materialise(left.select("source", "h", "size", (F.col("need") - F.col("below")).alias("need")), f"{tag}-boundary{level}")
+    return prefix.select("source", reduce(lambda a, b: a + b, [F.col(f"b{i}") for i in range(LEVELS)]).alias("cut"), "gap", "inside")
+
+
 def thresholds(base: DataFrame, weights: list[float], max_repeat: float) -> tuple[DataFrame, bool]:
-    """Per source (source, known): source_size, target, whole (passes of every document) and threshold (of the hash, for
-    one pass more); and whether there are few enough rows to broadcast. ``base`` has source, size, h."""
+    """Per source (source, known): source_size, target, whole (passes of every document), and cut, gap, cut2 that say
+    which documents are taken once more (passes()); and whether there are few enough rows to broadcast.
+
+    Below ``cut`` all are taken. The document there is larger than the gap that is left, so a second histogram, of later
+    documents that fit into the gap, fills it. ``base`` has source, size, h.
+    """
     plan = (
         targets(base, weights, max_repeat)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -85,27 +104,25 @@ def thresholds(base: DataFrame, weights: list[float], max_repeat: float) -> tupl
     plan = materialise(with_key(plan), "plan")
     small = plan.count() <= BROADCAST_SOURCES
     hint = F.broadcast if small else lambda x: x
-    left = with_key(base).join(hint(plan.select("source", "known", "need")), ["source", "known"]).where("size > 0 and need > 0")
-    left = left.withColumn("source", F.struct("source", "known"))
-    prefix = None
-    for level in range(LEVELS):
-        shift = HASH_BITS * (LEVELS - 1 - level)
-        edge = materialise(_cut(left, shift), f"edge{level}")
-        part = edge.select("source", F.shiftleft(F.col("bucket").cast("long"), shift).alias(f"b{level}"), (F.col("need") - F.col("below")).alias(f"gap{level}"), F.col("inside").alias(f"in{level}"))
-        prefix = part if prefix is None else prefix.join(part, "source", "left")
-        if level < LEVELS - 1:
-            left = left.join(hint(edge.select("source", "bucket", "below")), "source").where(F.shiftright("h", shift).bitwiseAND((1 << HASH_BITS) - 1) == F.col("bucket"))
-            left = materialise(left.select("source", "h", "size", (F.col("need") - F.col("below")).alias("need")), f"boundary{level}")
-    # The last bucket is one hash: take it if that comes nearer to the budget.
-    last = LEVELS - 1
-    threshold = reduce(lambda a, b: a + b, [F.coalesce(f"b{i}", F.lit(0)) for i in range(LEVELS)])
-    cut = prefix.select(F.col("source.source").alias("source"), F.col("source.known").alias("known"), (threshold + F.when(F.col(f"gap{last}") * 2 >= F.col(f"in{last}"), 1).otherwise(0)).alias("threshold"))
-    everything = F.when(F.col("need") > 0, F.lit(1 << 60)).otherwise(F.lit(0))
-    return materialise(plan.join(cut, ["source", "known"], "left").withColumn("threshold", F.coalesce("threshold", everything)), "thresholds"), small
+    rows = with_key(base).join(hint(plan.select("source", "known", "need")), ["source", "known"]).where("size > 0 and need > 0")
+    rows = rows.select(F.struct("source", "known").alias("source"), "h", "size", "need")
+    first = materialise(_boundary(rows, hint, "first"), "first")
+    later = rows.drop("need").join(hint(first.select("source", "cut", "gap")), "source").where("h > cut and size <= gap").select("source", "h", "size", F.col("gap").alias("need"))
+    second = materialise(_boundary(later, hint, "second").select("source", F.col("cut").alias("cut2"), F.col("gap").alias("gap2"), F.col("inside").alias("inside2")), "second")
+    end = F.lit(1 << 60)
+    both = first.join(second, "source", "left").select(
+        F.col("source.source").alias("source"), F.col("source.known").alias("known"), "cut", "gap",
+        # The last document is taken if that comes nearer to the target.
+        F.when(F.col("cut2").isNull(), end).otherwise(F.col("cut2") + (F.col("gap2") * 2 >= F.col("inside2")).cast("long")).alias("cut2"),
+    )
+    final = plan.join(both, ["source", "known"], "left")
+    final = final.withColumn("cut", F.coalesce("cut", F.when(F.col("need") > 0, end).otherwise(F.lit(0)))).withColumns({"gap": F.coalesce("gap", F.lit(0.0)), "cut2": F.coalesce("cut2", F.lit(0))})
+    return materialise(final, "thresholds"), small
 
 
 def passes(size: Column, h: Column) -> Column:
-    return F.when(size > 0, F.col("whole") + (h < F.col("threshold")).cast("long")).otherwise(F.lit(0)).cast("long")
+    extra = (h < F.col("cut")) | ((h > F.col("cut")) & (h < F.col("cut2")) & (size <= F.col("gap")))
+    return F.when(size > 0, F.col("whole") + extra.cast("long")).otherwise(F.lit(0)).cast("long")
 
 
 def sizes(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -124,7 +141,7 @@ def mix(docs: DataFrame, weights: list[float], max_repeat: float = 3.0) -> DataF
 def repeat(docs: DataFrame, weights: list[float], max_repeat: float = 3.0) -> DataFrame:
     """The documents, with all their columns, as often as the mix takes them: a filter on the hash, so texts never move."""
     final, small = thresholds(sizes(docs), weights, max_repeat)
-    final = final.select(F.col("source").alias("_source"), F.col("known").alias("_known"), "whole", "threshold")
+    final = final.select(F.col("source").alias("_source"), F.col("known").alias("_known"), "whole", "cut", "gap", "cut2")
     same = (F.coalesce(docs["source"], F.lit("")) == F.col("_source")) & (docs["source"].isNotNull() == F.col("_known"))
     often = docs.join(F.broadcast(final) if small else final, same).withColumn("_n", passes(word_count(docs["text"]), id_hash(docs["doc_id"])))
     return often.where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[docs[c] for c in docs.columns])
