@@ -105,6 +105,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         name, closes = name.lower(), m[2] == "/"
         edge = name in ("article", "main")
+        if skip and skip[0] == "p" and name in BLOCKS and (name != "p" or not closes):
+            skip = []  # any block ends a paragraph
         if skip:
             if edge and not closes and not begun and skip[0] not in ("article", "main"):
                 skip = []  # what was left open before the article
@@ -132,9 +134,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name not in VOID and _marked(name, m[4], inside > 0):
             if name in BLOCKS or name in OTHER:
                 gap()
-            if not m[4].endswith("/") and name != "p":
-                skip = [name, 1]
-            elif name == "p":
+            if not m[4].endswith("/"):
                 skip = [name, 1]
         elif edge:
             gap()
