@@ -25,15 +25,6 @@ def formation_rows(pairs: DataFrame, panel: DataFrame, p: Params = Params()) ->
     return wide.withColumn("n", F.row_number().over(Window.partitionBy(*KEYS).orderBy("sidx")))
 
 
-def ols(rows: DataFrame) -> DataFrame:
-    """Per pair: observations, population deviations, and both regressions (12: ticker_1 on ticker_2)."""
-    return rows.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("formation_observations"), F.stddev_pop("a").alias("dev_1"), F.stddev_pop("b").alias("dev_2"),
-        F.regr_slope("a", "b").alias("beta_12"), F.regr_intercept("a", "b").alias("alpha_12"),
-        F.regr_slope("b", "a").alias("beta_21"), F.regr_intercept("b", "a").alias("alpha_21"),
-    )
-
-
 def _tau(s: str) -> Column:
     """t-statistic of the level in v = gamma * l + phi * d, from sums; minus infinity for a perfect fit."""
     c = lambda k: F.col(f"{k}_{s}")
@@ -45,64 +36,62 @@ def _tau(s: str) -> Column:
     return F.when(var > 1e-30, gamma / F.sqrt(var)).when(gamma < 0, F.lit(-math.inf))
 
 
-def residual_statistics(rows: DataFrame, fits: DataFrame) -> DataFrame:
-    """Per pair and direction: tau of the residuals with one lagged difference and no constant."""
-    u = rows.join(fits, KEYS)
-    u = u.withColumns({"u_12": F.col("a") - F.col("alpha_12") - F.col("beta_12") * F.col("b"), "u_21": F.col("b") - F.col("alpha_21") - F.col("beta_21") * F.col("a")})
-    own = Window.partitionBy(*KEYS).orderBy("n")
-    sums = []
-    for s in ("12", "21"):
-        x = F.col(f"u_{s}")
-        u = u.withColumns({f"l_{s}": F.lag(x).over(own), f"k_{s}": F.lag(x, 2).over(own)})
-        lv, dv, vv = F.col(f"l_{s}"), F.col(f"l_{s}") - F.col(f"k_{s}"), x - F.col(f"l_{s}")
-        known = F.col(f"k_{s}").isNotNull()
-        for k, v in {"ll": lv * lv, "ld": lv * dv, "dd": dv * dv, "lv": lv * vv, "dv": dv * vv, "vv": vv * vv}.items():
-            sums.append(F.sum(F.when(known, v)).alias(f"{k}_{s}"))
-        sums.append(F.count_if(known).alias(f"m_{s}"))
-    out = u.groupBy(*KEYS).agg(*sums)
-    return out.select(*KEYS, *[_tau(s).alias(f"tau_{s}") for s in ("12", "21")])
-
+def pair_statistics(rows: DataFrame) -> DataFrame:
+    """Per pair, for both directions (12: ticker_1 on ticker_2): regression, tau with one lagged difference and no
+    constant, spread mean and deviation, reversion slope and mean crossings.
 
-def spread_statistics(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Per pair: spread mean and deviation, half-life, reversion coefficient and mean crossings of the chosen direction."""
-    u = rows.join(chosen, KEYS).withColumn("u", F.when(F.col("direction") == "12", F.col("a") - F.col("alpha") - F.col("hedge_ratio") * F.col("b")).otherwise(F.col("b") - F.col("alpha") - F.col("hedge_ratio") * F.col("a")))
+    One shuffle: every window and the final sums share the pair's partitioning.
+    """
     every, own = Window.partitionBy(*KEYS), Window.partitionBy(*KEYS).orderBy("n")
-    u = u.withColumn("l", F.lag("u").over(own)).withColumn("centred", F.round(F.col("u") - F.avg("u").over(every), 12))
-    sign = F.when(F.col("centred") != 0, F.signum("centred"))
-    u = u.withColumn("s", F.last(sign, ignorenulls=True).over(own))
-    u = u.withColumn("s", F.coalesce("s", F.first("s", ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))))
-    u = u.withColumn("turn", F.col("s") != F.lag("s").over(own))
-    out = u.groupBy(*KEYS).agg(
-        F.avg("u").alias("spread_mean"), F.stddev_samp("u").alias("spread_std"), F.regr_count(F.col("u") - F.col("l"), F.col("l")).alias("m"),
-        F.regr_slope(F.col("u") - F.col("l"), F.col("l")).alias("mean_reversion_coefficient"), F.count_if("turn").alias("mean_crossings"),
-    )
-    slope = F.col("mean_reversion_coefficient")
-    life = F.when(F.col("m") < 20, None).when(slope >= 0, F.lit(math.inf)).otherwise(-math.log(2) / slope)
-    return out.withColumn("half_life", life).drop("m")
+    fits = {
+        "formation_observations": F.count(F.lit(1)), "dev_1": F.stddev_pop("a"), "dev_2": F.stddev_pop("b"),
+        "beta_12": F.regr_slope("a", "b"), "alpha_12": F.regr_intercept("a", "b"), "beta_21": F.regr_slope("b", "a"), "alpha_21": F.regr_intercept("b", "a"),
+    }
+    u = rows.withColumns({k: v.over(every) for k, v in fits.items()})
+    u = u.withColumns({"u_12": F.col("a") - F.col("alpha_12") - F.col("beta_12") * F.col("b"), "u_21": F.col("b") - F.col("alpha_21") - F.col("beta_21") * F.col("a")})
+    ways = ("12", "21")
+    u = u.withColumns({f"l_{s}": F.lag(f"u_{s}").over(own) for s in ways} | {f"k_{s}": F.lag(f"u_{s}", 2).over(own) for s in ways} | {f"c_{s}": F.round(F.col(f"u_{s}") - F.avg(f"u_{s}").over(every), 12) for s in ways})
+    # The sign of the centred spread; zeros take the last sign, and leading zeros the next.
+    u = u.withColumns({f"s_{s}": F.last(F.when(F.col(f"c_{s}") != 0, F.signum(f"c_{s}")), ignorenulls=True).over(own) for s in ways})
+    u = u.withColumns({f"t_{s}": F.coalesce(f"s_{s}", F.first(f"s_{s}", ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))) for s in ways})
+    u = u.withColumns({f"turn_{s}": F.col(f"t_{s}") != F.lag(f"t_{s}").over(own) for s in ways})
+    sums = [F.any_value(k).alias(k) for k in fits]
+    for s in ways:
+        x, lv = F.col(f"u_{s}"), F.col(f"l_{s}")
+        dv, vv, known = lv - F.col(f"k_{s}"), x - lv, F.col(f"k_{s}").isNotNull()
+        terms = {"ll": lv * lv, "ld": lv * dv, "dd": dv * dv, "lv": lv * vv, "dv": dv * vv, "vv": vv * vv}
+        sums += [F.sum(F.when(known, v)).alias(f"{k}_{s}") for k, v in terms.items()]
+        sums += [
+            F.count_if(known).alias(f"m_{s}"), F.avg(x).alias(f"mean_{s}"), F.stddev_samp(x).alias(f"std_{s}"), F.regr_count(vv, lv).alias(f"steps_{s}"),
+            F.regr_slope(vv, lv).alias(f"slope_{s}"), F.count_if(f"turn_{s}").alias(f"crossings_{s}"),
+        ]
+    out = u.groupBy(*KEYS).agg(*sums)
+    return out.withColumns({f"tau_{s}": _tau(s) for s in ways})
 
 
 def test_pairs(pairs: DataFrame, panel: DataFrame, p: Params = Params()) -> DataFrame:
     """pairs with test_status, statistics of both directions, the chosen direction and its spread's parameters.
 
     Too few common sessions, a constant series and a statistic that can't be computed have statuses of their own, and
-    null statistics.
+    null statistics. The smaller p-value's direction is chosen, ticker_1 on ticker_2 in a tie.
     """
-    rows = formation_rows(pairs, panel, p)
-    fits = ols(rows)
-    tested = fits.where((F.col("formation_observations") >= p.min_pair_observations) & (F.least("dev_1", "dev_2") >= 1e-10))
-    tau = residual_statistics(rows, tested.select(*KEYS, "alpha_12", "beta_12", "alpha_21", "beta_21"))
-    tau = tau.withColumns({f"tau_{s}": F.round(f"tau_{s}", DECIMALS) for s in ("12", "21")}).withColumns({f"pvalue_{s}": F.round(mackinnon_p(F.col(f"tau_{s}")), DECIMALS) for s in ("12", "21")})
-    both = tested.join(tau, KEYS)
+    stats = pair_statistics(formation_rows(pairs, panel, p))
+    good = (F.col("formation_observations") >= p.min_pair_observations) & (F.least("dev_1", "dev_2") >= 1e-10)
+    stats = stats.withColumns({f"tau_{s}": F.when(good, F.round(f"tau_{s}", DECIMALS)) for s in ("12", "21")})
+    stats = stats.withColumns({f"pvalue_{s}": F.round(mackinnon_p(F.col(f"tau_{s}")), DECIMALS) for s in ("12", "21")})
+    valid = F.col("pvalue_12").isNotNull() & F.col("pvalue_21").isNotNull()
     one = F.col("pvalue_12") <= F.col("pvalue_21")
-    pick = lambda k: F.when(one, F.col(f"{k}_12")).otherwise(F.col(f"{k}_21"))
-    chosen = both.where("pvalue_12 is not null and pvalue_21 is not null").select(
-        *KEYS, "tau_12", "tau_21", "pvalue_12", "pvalue_21", F.greatest("pvalue_12", "pvalue_21").alias("conservative_pvalue"), pick("pvalue").alias("chosen_pvalue"), pick("tau").alias("chosen_tau"),
-        F.when(one, "12").otherwise("21").alias("direction"), F.when(one, F.col("ticker_1")).otherwise(F.col("ticker_2")).alias("dependent_ticker"),
-        F.when(one, F.col("ticker_2")).otherwise(F.col("ticker_1")).alias("independent_ticker"), pick("alpha").alias("alpha"), pick("beta").alias("hedge_ratio"),
+    pick = lambda k: F.when(valid & one, F.col(f"{k}_12")).when(valid, F.col(f"{k}_21"))
+    slope = pick("slope")
+    life = F.when(pick("steps") < 20, None).when(slope >= 0, F.lit(math.inf)).otherwise(-math.log(2) / slope)
+    stats = stats.select(
+        *KEYS, "formation_observations", "dev_1", "dev_2", *[F.when(valid, F.col(f"{k}_{s}")).alias(f"{k}_{s}") for k in ("tau", "pvalue") for s in ("12", "21")],
+        F.when(valid, F.greatest("pvalue_12", "pvalue_21")).alias("conservative_pvalue"), pick("pvalue").alias("chosen_pvalue"), pick("tau").alias("chosen_tau"),
+        F.when(valid, F.when(one, "12").otherwise("21")).alias("direction"), F.when(valid, F.when(one, F.col("ticker_1")).otherwise(F.col("ticker_2"))).alias("dependent_ticker"),
+        F.when(valid, F.when(one, F.col("ticker_2")).otherwise(F.col("ticker_1"))).alias("independent_ticker"), pick("alpha").alias("alpha"), pick("beta").alias("hedge_ratio"),
+        pick("mean").alias("spread_mean"), pick("std").alias("spread_std"), slope.alias("mean_reversion_coefficient"), pick("crossings").alias("mean_crossings"), F.when(valid, life).alias("half_life"),
     )
-    spread = spread_statistics(rows, chosen.select(*KEYS, "direction", "alpha", "hedge_ratio"))
-    out = pairs.join(fits.select(*KEYS, "formation_observations", "dev_1", "dev_2"), KEYS, "left").join(chosen, KEYS, "left").join(spread, KEYS, "left")
-    out = out.withColumn("formation_observations", F.coalesce("formation_observations", F.lit(0)).cast("long"))
+    out = pairs.join(stats, KEYS, "left").withColumn("formation_observations", F.coalesce("formation_observations", F.lit(0)).cast("long"))
     status = (
         F.when(F.col("formation_observations") < p.min_pair_observations, "insufficient_observations")
         .when(F.least("dev_1", "dev_2") < 1e-10, "constant_price_series").when(F.col("conservative_pvalue").isNull(), "invalid_pvalue").otherwise("success")

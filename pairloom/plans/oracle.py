@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pairloom.sources.fixture import CTES as FIXTURE
 
+NUDGE = "3.7e-10"
 K = "selection_date, ticker_1, ticker_2"
 
 
 def r(*names: str) -> str:
-    """Doubles of the result: six decimals, infinite ones null, no negative zero."""
-    return ", ".join(f"round(CASE WHEN isinf({n}) THEN NULL ELSE {n} END, 6) + 0.0 AS {n}" for n in names)
+    """Doubles of the result: six decimals, infinite ones null, no negative zero; queries.rounded() says why NUDGE."""
+    return ", ".join(f"round(CASE WHEN isinf({n}) THEN NULL ELSE {n} END + {NUDGE}, 6) + 0.0 AS {n}" for n in names)
 
 
 def breach(a: str, op: str, b: str) -> str:
@@ -97,7 +98,7 @@ CTES = FIXTURE | {
         CASE WHEN row_number() OVER (PARTITION BY ticker ORDER BY sidx) >= 15 THEN cast(sum(CASE WHEN volume > 0 THEN 1 ELSE 0 END) OVER w AS bigint) END AS positive_days,
         CASE WHEN count(CASE WHEN volume > 0 THEN close END) OVER w >= 15 THEN median(CASE WHEN volume > 0 THEN close * volume END) OVER w END AS median_dollar_volume
         FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY sidx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
-    "elig": "SELECT *, coalesce(close > 0 AND open > 0 AND history >= 252 AND close >= 5 AND volume > 0 AND positive_days >= 15 AND median_dollar_volume >= 100000, false) AS eligible FROM liquid",
+    "elig": "SELECT *, coalesce(close > 0 AND open > 0 AND history >= 252 AND close >= 5 AND volume > 0 AND positive_days >= 15 AND median_dollar_volume >= 30000, false) AS eligible FROM liquid",
     "ends": "SELECT max(session) AS selection_date, max(sidx) AS sidx FROM days GROUP BY date_trunc('month', session) HAVING date_trunc('month', max(session)) < (SELECT date_trunc('month', max(session)) FROM days)",
     "rets": "SELECT ticker, sidx, ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY sidx) AS ret FROM panel",
     "corrs": """SELECT e.selection_date, e.sidx, a.ticker AS ticker_1, b.ticker AS ticker_2, s1.sector, CASE WHEN count(x.ret + y.ret) >= 200 THEN round(corr(x.ret, y.ret), 8) END AS return_correlation,
@@ -135,7 +136,7 @@ CTES = FIXTURE | {
         FROM picked p LEFT JOIN fit USING ({K}) LEFT JOIN chosen USING ({K}) LEFT JOIN spread USING ({K})""",
     "adjusted": f"SELECT *, {bh_min('conservative_pvalue', 'selection_date')} AS fdr_pvalue FROM (SELECT *, {bh('conservative_pvalue', 'selection_date')} AS raw FROM tested)",
     "results": f"SELECT *, {PASSED} FROM (SELECT *, {GATES.format(f='fdr_pvalue')} FROM adjusted)",
-    "ranked": f"""SELECT t.*, {RANK} AS sector_candidate_rank FROM tested t JOIN securities s1 ON s1.ticker = ticker_1 JOIN securities s2 ON s2.ticker = ticker_2 WHERE NOT coalesce(s1.cik = s2.cik, false)""",
+    "ranked": f"""SELECT t.*, {RANK} AS sector_candidate_rank FROM tested t WHERE NOT coalesce((SELECT cik FROM securities WHERE ticker = ticker_1) = (SELECT cik FROM securities WHERE ticker = ticker_2), false)""",
     "base0": f"SELECT *, {bh_min('conservative_pvalue', 'selection_date')} AS baseline_fdr_pvalue FROM (SELECT *, {bh('conservative_pvalue', 'selection_date')} AS raw FROM ranked WHERE sector_candidate_rank <= 20)",
     "base": f"SELECT *, concat(ticker_1, '__', ticker_2) AS pair_id FROM (SELECT *, {PASSED} FROM (SELECT *, {GATES.format(f='baseline_fdr_pvalue')} FROM base0)) WHERE qualified",
     "caps": "SELECT unnest([10, 20, 30, 50])::int AS candidate_cap",
@@ -178,7 +179,8 @@ def sql(select: str) -> str:
                 visit(CTES[name])
 
     visit(select)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in needed) + "\n" + select
+    parts = ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in needed)
+    return f"WITH {parts}\n{select}" if parts else select
 
 
 RATES = """count(*) FILTER (entry_triggered) AS entry_events, avg(entry_triggered::int) AS entry_frequency, avg(touched_abs_z_1::int) FILTER (entry_triggered) AS touched_abs_z_1_rate,
@@ -258,9 +260,9 @@ SELECTS = {
     "frozen_z": f"SELECT zs.selection_date, pair_id, session, {r('z')}, both_eligible FROM zs WHERE session > selection_date",
     "spread_events": f"SELECT * REPLACE ({r('entry_z_score', 'maximum_favourable_excursion_z', 'maximum_adverse_excursion_z', 'end_z_score', 'return_correlation', 'fdr_pvalue')}) FROM events_",
     "event_by_sector": f"SELECT * REPLACE ({r(*RATE_NAMES)}) FROM (SELECT sector, count(*) AS pair_months, {RATES} FROM events_ GROUP BY sector)",
-    "event_summary": f"""SELECT metric, {r('value')} FROM (UNPIVOT INCLUDE NULLS (SELECT COLUMNS(*)::double FROM (SELECT count(*) AS pair_months_evaluated, {RATES}, median(abs(entry_z_score)) FILTER (entry_triggered) AS median_entry_abs_z,
+    "event_summary": f"""SELECT metric, {r('value')} FROM (SELECT COLUMNS(*)::double FROM (SELECT count(*) AS pair_months_evaluated, {RATES}, median(abs(entry_z_score)) FILTER (entry_triggered) AS median_entry_abs_z,
         median(sessions_to_abs_z_1) FILTER (entry_triggered) AS median_sessions_to_abs_z_1, median(sessions_to_mean_crossing) FILTER (entry_triggered) AS median_sessions_to_mean_crossing FROM events_))
-        ON {METRICS} INTO NAME metric VALUE value)""",
+        UNPIVOT INCLUDE NULLS (value FOR metric IN ({METRICS}))""",
     "drawdown": f"""SELECT ticker, date, {r('close', 'peak', 'drawdown')} FROM (SELECT ticker, session AS date, close, max(close) OVER w AS peak, close / max(close) OVER w - 1 AS drawdown FROM bars
         WINDOW w AS (PARTITION BY ticker ORDER BY session))""",
     "yearly_returns": f"SELECT ticker, year, {r('annual_return')}, sessions FROM (SELECT ticker, year(session)::int AS year, exp(sum(ln(1 + ret))) - 1 AS annual_return, count(*) AS sessions FROM moves WHERE ret IS NOT NULL GROUP BY ALL)",

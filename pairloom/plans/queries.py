@@ -12,22 +12,34 @@ from pairloom.functions.scalars import batch_number
 from pairloom.functions.stats import mackinnon_p
 from pairloom.operators import backtest, candidates, clean, cointegration, events, metrics, panel, quality
 from pairloom.params import Params
-from pairloom.plans.oracle import ORACLE
+from pairloom.plans.oracle import NUDGE, ORACLE
 from pairloom.plans.research import Research
 from pairloom.sources import fixture
+from pairloom.sources.scratch import keep
 
 #: The fixture's volumes are small and its moves smaller than those of single shares.
-P = Params(min_median_dollar_volume=100_000.0, extreme_return=0.05)
+P = Params(min_median_dollar_volume=30_000.0, extreme_return=0.05)
 PLACES = 6
 
 
+_LAST: dict[tuple[str, str, Params], Research] = {}
+
+
 def research(spark: SparkSession, sf_dir: str, p: Params = P) -> Research:
-    return Research(fixture.bars(spark, sf_dir), fixture.securities(spark, sf_dir), p, keep=lambda df, name: df.cache() if name in ("panel", "tested", "baseline") else df)
+    """The stages over a folder; the last folder's are kept, so that queries share the tables that many of them read."""
+    key = (spark.sparkContext.applicationId, sf_dir, p)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Research(keep(fixture.bars(spark, sf_dir), "bars"), keep(fixture.securities(spark, sf_dir), "securities"), p, keep)
+    return _LAST[key]
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to PLACES decimals, infinite ones as null, and no negative zero."""
-    fix = lambda c: F.when(F.abs(c) != float("inf"), F.round(F.col(c), PLACES) + 0.0).alias(c)
+    """Doubles to PLACES decimals, infinite ones as null, and no negative zero.
+
+    Statistics were rounded before they met a limit; a nudge keeps them off the ties that engines round differently.
+    """
+    fix = lambda c: F.when(F.abs(c) != float("inf"), F.round(F.col(c) + float(NUDGE), PLACES) + 0.0).alias(c)
     return df.select(*[fix(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -285,7 +297,7 @@ def event_outcomes(r):
 
 
 def _table(kind: str) -> Callable[[Research], DataFrame]:
-    return lambda r: backtest.table(r.backtest(), kind)
+    return lambda r: backtest.table(r.baseline_backtest, kind)
 
 
 for _name, _kind in {"backtest_trades": "trade", "backtest_orders": "order", "backtest_equity": "equity", "backtest_exposure": "exposure", "backtest_positions": "position"}.items():
@@ -295,7 +307,7 @@ for _name, _kind in {"backtest_trades": "trade", "backtest_orders": "order", "ba
 def _with_result(f: Callable[[Research, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = research(spark, sf_dir)
-        return f(r, r.backtest().cache())
+        return f(r, r.baseline_backtest)
 
     return run
 

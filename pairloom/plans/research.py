@@ -13,8 +13,8 @@ from pairloom.params import Params
 class Research:
     """Bars and securities in, every stage's table out.
 
-    ``keep`` is applied to the tables that several stages read (the panel, the candidates, the test results): identity
-    by default, a cache or a write to a shared table in a long session.
+    ``keep`` is applied to the tables that several stages read (panel, candidates, test results, events, backtest):
+    identity by default; sources.scratch.keep writes them to the shared folder, which also keeps plans short.
     """
 
     def __init__(self, bars: DataFrame, securities: DataFrame, params: Params = Params(), keep=lambda df, name: df):
@@ -63,7 +63,7 @@ class Research:
 
     @cached_property
     def by_cap(self) -> DataFrame:
-        return cointegration.by_cap(self.tested, self.securities, self.p)
+        return self.keep(cointegration.by_cap(self.tested, self.securities, self.p), "by_cap")
 
     @cached_property
     def baseline(self) -> DataFrame:
@@ -71,7 +71,11 @@ class Research:
 
     @cached_property
     def events(self) -> DataFrame:
-        return events.spread_events(self.baseline, self.panel, self.p)
+        return self.keep(events.spread_events(self.baseline, self.panel, self.p), "events")
+
+    @cached_property
+    def baseline_backtest(self) -> DataFrame:
+        return self.keep(self.backtest(), "backtest")
 
     def backtest(self, scenarios: dict[str, Params] | None = None) -> DataFrame:
         return backtest.backtest(self.baseline, self.panel, scenarios or {"baseline": self.p})
