@@ -25,13 +25,18 @@ def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 
 def read_security_files(spark: SparkSession, folder: str) -> DataFrame:
     """One Parquet file per security (Date, Open, .., Volume), the ticker being the file's name; one tidy table."""
+    # Files written from data frames in nanoseconds are read as numbers.
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     df = spark.read.option("pathGlobFilter", "*.parquet").parquet(folder)
     names = {c.lower(): c for c in df.columns}
     if "date" not in names:
         raise InputError("columns missing: date")
     ticker = F.regexp_extract(F.input_file_name(), r"([^/]+)\.parquet", 1)
     values = [lenient_double(F.col(names[c])).alias(c) for c in ("open", "high", "low", "close", "volume") if c in names]
-    return df.select(F.url_decode(ticker).alias("ticker"), F.to_date(names["date"]).alias("session"), *values)
+    day = F.col(names["date"])
+    if dict(df.dtypes)[names["date"]] == "bigint":
+        day = F.timestamp_micros(F.floor(day / 1000))
+    return df.select(F.url_decode(ticker).alias("ticker"), F.to_date(day).alias("session"), *values)
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
