@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "mixing", "packing", "media", "html_text", "toxicity", "warc", "jaccard", "suffix_dedup")
+MODULES = ("exact_dedup", "line_dedup", "mixing", "packing", "media", "html_text", "toxicity", "warc", "jaccard", "suffix_dedup")
 
 
 def load() -> tuple[dict, dict]:
