@@ -90,8 +90,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = materialise(deduplicate(docs, new_index(docs.sparkSession), "corpus").where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")), "kept")
     rows = docs.withColumn("_digest_of", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (F.col("_digest_of") == F.col("_digest")), "left_semi").drop("_digest_of")
-    # Rows that repeat an id are rare; only they pass through a grouping that carries texts.
-    twice = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    # Rows that repeat an id are rare; only they pass through a grouping that carries texts, and only if there are any.
+    twice = materialise(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "repeated-ids")
+    if twice.isEmpty():
+        return rows
     once = rows.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti")
     again = rows.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_semi")
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
