@@ -31,7 +31,8 @@ WILDCARD, VARIABLE = "<*>", "[^ ]*[0-9][^ ]*"
 
 
 def _plain(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\r", "  "))
+    # Two searches that mostly find nothing cost less than a translation of every character.
+    return F.trim(F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")))
 
 
 def _leaf(plain: Column) -> Column:
