@@ -17,6 +17,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +72,45 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float =
     return seen.join(often, "tkey").select("id", "h", "place", "template")
 
 
-def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, text (what is left, lines joined by \\n) of every row."""
+def relative_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+    """As dropped_lines, but what stays is decided relative to the line, so it doesn't depend on how much data there is.
+
+    A line's tokens are ordered by how many (document, line) pairs have them at their place. Those as frequent as the
+    least of the most frequent ``similarity`` of them stay, and rarer ones are variable fields: in every line of a
+    template the constant tokens are at least as frequent as the template is, and a field's values are rarer.
+    """
+    found = _candidates(docs, min_docs)
+    forms = found.groupBy("key", "id", "h").agg(F.any_value("leaf").alias("leaf"), F.any_value("masked").alias("masked")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.any_value("leaf").alias("leaf"), F.any_value("masked").alias("masked"))
+    forms = materialise(forms, "forms")
+    tokens = forms.select("key", "leaf", F.col("n"), F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    support = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs)
+    kept = tokens.join(support, ["leaf", "at", "token"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
+    whole = kept.groupBy("key", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token", "support"))).alias("t"))
+    # The tokens that need not stay, without the error of a product of floats.
+    spare = (F.size("t") - F.ceil(F.size("t") * F.lit(similarity) - 1e-9)).cast("int")
+    whole = whole.withColumn("least", F.get(F.array_sort(F.transform("t", lambda x: x["support"])), spare)).where(F.col("least") >= min_docs)
+    whole = whole.withColumn("t", F.transform("t", lambda x: F.when(x["support"] >= F.col("least"), x["token"]).otherwise(F.lit(WILDCARD))))
+    templates = whole.where(F.exists("t", lambda x: x != WILDCARD)).select("key", F.xxhash64("leaf", "t").alias("tkey"), F.array_join("t", " ").alias("template"))
+    templates = materialise(templates, "templates")
+    seen = found.select("id", "h", "place", "key").join(templates, "key")
+    often = seen.groupBy("tkey", "id", "h").agg(F.lit(1).alias("one")).groupBy("tkey").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    return seen.join(often, "tkey").select("id", "h", "place", "template")
+
+
+def _candidates(docs: DataFrame, min_docs: int) -> DataFrame:
+    """id, h, place, leaf, masked, key of the lines of leaves that min_docs documents reach."""
+    lines = _lines(docs)
+    leaves = lines.groupBy("leaf", "id", "h").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    leaves = materialise(leaves, "leaves")
+    found = lines.join(F.broadcast(leaves), "leaf") if leaves.count() <= BROADCAST_LEAVES else lines.join(leaves, "leaf")
+    found = found.withColumn("masked", F.regexp_replace("plain", VARIABLE, WILDCARD))
+    return materialise(found.select("id", "h", "place", "leaf", "masked", F.xxhash64("leaf", "masked").alias("key")), "lines")
+
+
+def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = dropped_lines) -> DataFrame:
+    """doc_id, n_lines, n_dropped, text (what is left, lines joined by \\n) of every row; ``find`` names the lines that go."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    gone = dropped_lines(rows, min_docs, similarity).groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("place").alias("gone"))
+    gone = find(rows, min_docs, similarity).groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("place").alias("gone"))
     gone = materialise(gone, "gone")
     out = rows.join(gone.hint("merge"), (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     lines = F.split("text", "\n")
@@ -82,11 +119,18 @@ def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = S
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicate(table(spark, sf_dir, "documents"))
+    return _summary(deduplicate(table(spark, sf_dir, "documents")))
+
+
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(deduplicate(table(spark, sf_dir, "documents"), find=relative_lines))
+
+
+def _summary(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup}
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op3_line_templates": op3_line_templates}
 ORACLE = {
     "op3_line_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
