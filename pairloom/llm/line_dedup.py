@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import materialise, table
 
 LEAD = 3
+#: Ways down the tree of relative_lines, by windows of a line's tokens: fields in some of them leave the others.
+WINDOWS = 4
 MIN_DOCS = 5
 SIMILARITY = 0.7
 BROADCAST_LEAVES = 200_000
@@ -77,7 +79,9 @@ def relative_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
 
     A line's tokens are ordered by how many (document, line) pairs have them at their place. Those as frequent as the
     least of the most frequent ``similarity`` of them stay, and rarer ones are variable fields: in every line of a
-    template the constant tokens are at least as frequent as the template is, and a field's values are rarer.
+    template the constant tokens are at least as frequent as the template is, and a field's values are rarer. Masked
+    digits are tokens like others here, and a line that ``min_docs`` documents have, apart from digits, always goes.
+    A line may come twice. What may stay: a line whose field holds, by chance, a token that is frequent at that place.
     """
     found = _candidates(docs, min_docs)
     forms = found.groupBy("key", "id", "h").agg(F.any_value("leaf").alias("leaf"), F.any_value("masked").alias("masked")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.any_value("leaf").alias("leaf"), F.any_value("masked").alias("masked"))
@@ -94,17 +98,46 @@ def relative_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     templates = materialise(templates, "templates")
     seen = found.select("id", "h", "place", "key").join(templates, "key")
     often = seen.groupBy("tkey", "id", "h").agg(F.lit(1).alias("one")).groupBy("tkey").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-    return seen.join(often, "tkey").select("id", "h", "place", "template")
+    # Repeats of a masked line go whatever its template is.
+    repeats = forms.where(F.col("n") >= min_docs).select("key", F.col("masked").alias("template"))
+    same = found.select("id", "h", "place", "key").join(repeats, "key")
+    return seen.join(often, "tkey").select("id", "h", "place", "template").unionByName(same.select("id", "h", "place", "template"))
 
 
 def _candidates(docs: DataFrame, min_docs: int) -> DataFrame:
-    """id, h, place, leaf, masked, key of the lines of leaves that min_docs documents reach."""
-    lines = _lines(docs)
-    leaves = lines.groupBy("leaf", "id", "h").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    leaves = materialise(leaves, "leaves")
-    found = lines.join(F.broadcast(leaves), "leaf") if leaves.count() <= BROADCAST_LEAVES else lines.join(leaves, "leaf")
-    found = found.withColumn("masked", F.regexp_replace("plain", VARIABLE, WILDCARD))
-    return materialise(found.select("id", "h", "place", "leaf", "masked", F.xxhash64("leaf", "masked").alias("key")), "lines")
+    """id, h, place, leaf, masked, key of the lines one of whose paths min_docs documents reach; a leaf is a token count.
+
+    Lines of digits only are their own masks: they have no words that a template could keep.
+    """
+    rows = docs.select("id", "h", F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn("plain", _plain(F.col("line"))).where("plain <> ''")
+    lines = rows.select("id", "h", "place", "plain", _paths(F.col("plain")).alias("paths"))
+    each = lines.select("id", "h", "place", F.explode(F.array_distinct("paths")).alias("path"))
+    often = each.groupBy("path", "id", "h").agg(F.lit(1).alias("one")).groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("path")
+    often = materialise(often, "paths")
+    if often.count() <= BROADCAST_LEAVES:
+        found = lines
+        for i in range(WINDOWS):
+            found = found.join(F.broadcast(often.select(F.col("path").alias(f"p{i}"))), F.col("paths")[i] == F.col(f"p{i}"), "left")
+        found = found.where(F.coalesce(*[f"p{i}" for i in range(WINDOWS)]).isNotNull())
+    else:  # equal texts have equal lines, so the text's hash names a line as well as its document does
+        found = lines.join(each.join(often, "path").select("h", "place").distinct(), ["h", "place"])
+    masked = F.regexp_replace("plain", VARIABLE, WILDCARD)
+    words = F.replace(F.replace(masked, F.lit(WILDCARD), F.lit("")), F.lit(" "), F.lit("")) != ""
+    found = found.select("id", "h", "place", F.size(F.split("plain", " ")).alias("leaf"), F.when(words, masked).otherwise(F.col("plain")).alias("masked"))
+    return materialise(found.withColumn("key", F.xxhash64("masked")), "lines")
+
+
+def _paths(plain: Column) -> Column:
+    """Four ways down the tree: the token count with one to three tokens from each quarter of the line."""
+
+    def path(t: Column, i: int) -> Column:
+        n = F.size(t)
+        width = F.greatest(F.lit(1), F.least(F.lit(3), F.floor(n / 4).cast("int")))
+        window = F.array_join(F.slice(t, F.floor(n * i / WINDOWS).cast("int") + 1, width), " ")
+        return F.xxhash64(F.lit(i), n, F.regexp_replace(window, VARIABLE, WILDCARD))
+
+    # A function's argument is computed once, the paths of it are not.
+    return F.transform(F.array(F.split(plain, " ")), lambda t: F.array(*[path(t, i) for i in range(WINDOWS)]))[0]
 
 
 def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = dropped_lines) -> DataFrame:

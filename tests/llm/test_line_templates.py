@@ -21,3 +21,18 @@ def test_fields_stay_variable_on_larger_data(spark, n):
 def test_lines_that_share_too_little_stay(spark):
     texts = [" ".join(f"{name(i)}{c}" if k < 4 else c for k, c in enumerate("abcdefghij")) for i in range(20)]
     assert sum(dropped(spark, texts)) == 0
+
+
+@pytest.mark.parametrize("line", ["Page 3 of 12", "(c) 2024 Acme", "2024-05-01 10:00:00 17 ok", "+1 555 123 4567", "$12.99"])
+def test_repeats_with_digits_go(spark, line):
+    assert sum(dropped(spark, [line] * 20)) == 20
+
+
+def test_digits_vary_but_numbers_alone_do_not(spark):
+    assert sum(dropped(spark, [f"Page {i} of {i + 5}" for i in range(20)])) == 20
+    assert sum(dropped(spark, [f"{i} {i * 7}" for i in range(20)])) == 0
+
+
+@pytest.mark.parametrize("line", ["Posted by {} on the company board", "{} posted on the company board"])
+def test_fields_among_the_leading_tokens(spark, line):
+    assert sum(dropped(spark, [line.format(name(i)) for i in range(20)])) == 20
