@@ -108,10 +108,11 @@ def histogram(rows: DataFrame, value: str, bins: int = 24) -> DataFrame:
     return out.select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-def relative(equity: DataFrame, market: DataFrame, p: Params = Params()) -> DataFrame:
-    """beta, correlation and alpha of daily returns against a market series (date, close)."""
-    both = daily_returns(equity).select("date", "ret").join(daily_returns(market, "close").select("date", F.col("ret").alias("m")), "date")
-    return both.agg(F.regr_slope("ret", "m").alias("beta"), F.corr("ret", "m").alias("correlation"), (F.regr_intercept("ret", "m") * p.trading_days).alias("annual_alpha"))
+def relative(equity: DataFrame, market: DataFrame, p: Params = Params(), keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, beta, correlation and alpha of daily returns against a market series (date, close)."""
+    own = daily_returns(equity, keys=keys).select(*keys, "date", "ret")
+    both = own.join(daily_returns(market, "close").select("date", F.col("ret").alias("m")), "date")
+    return both.groupBy(*keys).agg(F.regr_slope("ret", "m").alias("beta"), F.corr("ret", "m").alias("correlation"), (F.regr_intercept("ret", "m") * p.trading_days).alias("annual_alpha"))
 
 
 def turnover(orders: DataFrame, equity: DataFrame, p: Params = Params()) -> DataFrame:

@@ -272,6 +272,8 @@ SELECTS = {
         UNION ALL SELECT 'worst', row_number() OVER (ORDER BY round(ret, 8), ticker, session), ticker, session, round(ret, 8) FROM moves WHERE ret IS NOT NULL) WHERE place <= 10""",
     "market_relative": f"""SELECT {r('beta', 'correlation', 'annual_alpha')} FROM (SELECT regr_slope(ret, m) AS beta, corr(ret, m) AS correlation, regr_intercept(ret, m) * 252 AS annual_alpha FROM
         (SELECT session, ret FROM moves WHERE ticker = 'Brand#1') JOIN (SELECT session, c / lag(c) OVER (ORDER BY session) - 1 AS m FROM (SELECT session, median(close) AS c FROM bars GROUP BY 1)) USING (session))""",
+    "market_relative_all": f"""SELECT ticker, {r('beta', 'correlation', 'annual_alpha')} FROM (SELECT ticker, regr_slope(ret, m) AS beta, corr(ret, m) AS correlation, regr_intercept(ret, m) * 252 AS annual_alpha FROM
+        (SELECT ticker, session, ret FROM moves) JOIN (SELECT session, c / lag(c) OVER (ORDER BY session) - 1 AS m FROM (SELECT session, median(close) AS c FROM bars GROUP BY 1)) USING (session) GROUP BY ticker)""",
     "event_outcomes": f"""SELECT reason, trades, {r('win_rate', 'net_pnl', 'mean_net_return', 'median_holding_sessions')} FROM (SELECT reason, count(*) AS trades, avg((x > 0)::int) AS win_rate, sum(x) AS net_pnl, avg(x) AS mean_net_return,
         median(forward_sessions) AS median_holding_sessions FROM (SELECT *, CASE WHEN touched_abs_z_0_5 THEN 'mean_reversion' WHEN abs(end_z_score) >= 4 THEN 'stop_loss' ELSE 'expiry' END AS reason,
         round(-sign(entry_z_score) * (end_z_score - entry_z_score), 8) AS x FROM events_ WHERE entry_triggered) GROUP BY reason)""",

@@ -280,13 +280,24 @@ def best_and_worst_days(r):
     return metrics.best_and_worst(quality.returns(r.bars).where("ret is not null").select("ticker", "session", F.round("ret", 8).alias("ret")), "ret", ["ticker", "session"])
 
 
+def _market(r: Research) -> DataFrame:
+    return r.bars.groupBy(F.col("session").alias("date")).agg(F.median("close").alias("close"))
+
+
 @query
 def market_relative(r):
-    market = r.bars.groupBy(F.col("session").alias("date")).agg(F.median("close").alias("close"))
+    market = _market(r)
     own = r.bars.where("ticker = 'Brand#1'").select(F.col("session").alias("date"), F.col("close").alias("net_equity"))
     return metrics.relative(own, market, r.p)
 
 
+@query
+def market_relative_all(r):
+    """market_relative of every security."""
+    own = r.bars.select("ticker", F.col("session").alias("date"), F.col("close").alias("net_equity"))
+    return metrics.relative(own, _market(r), r.p, ("ticker",))
+
+
 @query
 def event_outcomes(r):
     """Entered events as trades: the excursion at the end is the result."""
@@ -313,6 +324,7 @@ def _with_result(f: Callable[[Research, DataFrame], DataFrame]) -> Callable[[Spa
 
 
 QUERIES["backtest_metrics"] = _with_result(lambda r, b: metrics.performance(backtest.table(b, "equity"), backtest.table(b, "trade"), r.p))
+QUERIES["portfolio_relative"] = _with_result(lambda r, b: metrics.relative(backtest.table(b, "equity"), _market(r), r.p))
 QUERIES["backtest_validation"] = _with_result(lambda r, b: metrics.validation(backtest.table(b, "trade"), backtest.table(b, "equity"), r.p))
 QUERIES["backtest_exit_reasons"] = _with_result(lambda r, b: metrics.outcomes(backtest.table(b, "trade"), "exit_reason"))
 QUERIES["backtest_sectors"] = _with_result(lambda r, b: metrics.outcomes(backtest.table(b, "trade"), "sector"))
