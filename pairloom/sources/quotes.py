@@ -1,7 +1,7 @@
 """A Spark data source over a quote function, with batches of tickers and linear back-off.
 
-``fetch(tickers, start, end)`` returns rows (ticker, session, open, high, low, close, volume); a batch that fails is
-tried again ticker by ticker. There is no network in tests, which pass a function of their own.
+``fetch(tickers, start, end)`` returns rows (ticker, session, open, high, low, close, volume); tickers
+without rows in their batch, because it failed or lacks them, are tried again one by one, and so are empty answers. There is no network in tests, which pass a function of their own.
 """
 
 from __future__ import annotations
@@ -34,18 +34,25 @@ class QuoteReader(DataSourceReader):
     def read(self, part: Batch) -> Iterator[tuple]:
         fetch = getattr(importlib.import_module(self.module), self.name)
         try:
-            yield from list(fetch(part.tickers, self.start, self.end))
-            return
+            rows = list(fetch(part.tickers, self.start, self.end))
         except Exception:  # the whole batch: each ticker is tried by itself
             if self.retries < 1:
                 raise
+            rows = []
+        yield from rows
+        found = {row[0] for row in rows}
         for ticker in part.tickers:
+            if ticker in found:
+                continue
             for attempt in range(1, self.retries + 1):
                 try:
-                    yield from list(fetch([ticker], self.start, self.end))
-                    break
+                    rows = list(fetch([ticker], self.start, self.end))
                 except Exception:  # the download log shows a ticker without rows as failed
-                    time.sleep(self.wait * attempt if attempt < self.retries else 0)
+                    rows = []
+                if rows:
+                    yield from rows
+                    break
+                time.sleep(self.wait * attempt if attempt < self.retries else 0)
 
 
 class Quotes(DataSource):
