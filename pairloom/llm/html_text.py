@@ -3,8 +3,8 @@
 Markup is stripped into lines, one per block element; containers that a page marks as something else than its article
 (menus, forms, adverts and so on) leave an empty line. The lengths of the lines are summed over sliding windows of
 WINDOW lines. The text surges where a window's sum first exceeds the threshold and dives where the next windows hold
-nothing; what lies between is kept. A page that names its article or main part gives only that part's lines a length,
-and then any length surges; elsewhere link texts have no length and a window must hold SURGE characters.
+nothing; what lies between is kept, links too. Link texts have no length, and a window must hold SURGE characters.
+Lines of a named article or main part are kept besides; they never drop lines outside it.
 
 Defined results: null or empty html gives an empty text; repeated pages give repeated rows; an empty table gives no
 rows; extra columns are ignored. Unclosed and wrongly nested elements end with the article, the main part or the body.
@@ -146,13 +146,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The text between surge and dive points, blocks joined by a blank line."""
-    rows = lines(page or "")
-    named = any(within and text for text, _, within in rows)
-    weights = [(len(text) if within else 0) if named else size for text, size, within in rows]
-    least = 1 if named else SURGE
-    n = len(rows)
+def _between(weights: list[int], least: int) -> list[bool]:
+    """Which lines lie between a surge and its dive; short lines up to a window before the surge belong to it."""
+    n = len(weights)
     sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
     kept = [False] * n
     i = 0
@@ -161,15 +157,25 @@ def main_text(page: str | None) -> str:
             j = i
             while j < n and sums[j]:
                 j += 1
-            for k in range(i, j):
-                kept[k] = weights[k] > 0
-            k = i - 1  # a short heading before the surge belongs to it
-            while k >= 0 and weights[k]:
-                kept[k] = True
+            first, k = i, i - 1
+            while k >= 0 and not kept[k] and first - k <= WINDOW:
+                if weights[k]:
+                    first = k
                 k -= 1
+            kept[first:j] = [True] * (j - first)
             i = j
         i += 1
-    return "\n\n".join(text for (text, _, _), keep in zip(rows, kept, strict=True) if keep)
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    """The text between surge and dive points, blocks joined by a blank line."""
+    rows = lines(page or "")
+    weights = [size for _, size, _ in rows]
+    kept = _between(weights, SURGE)
+    # A bonus: any length surges in an article or main part, whatever the rest of the page holds.
+    named = _between([len(text) if within else 0 for text, _, within in rows], 1)
+    return "\n\n".join(text for (text, _, within), a, b in zip(rows, kept, named, strict=True) if text and (a or (b and within)))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
