@@ -3,11 +3,11 @@
 Markup is stripped into lines, one per block element; containers that a page marks as something else than its article
 (menus, forms, adverts and so on) leave an empty line. The lengths of the lines are summed over sliding windows of
 WINDOW lines. The text surges where a window's sum first exceeds the threshold and dives where the next windows hold
-nothing; what lies between is kept, links too. Link texts have no length, and a window must hold SURGE characters.
-Lines of a named article or main part are kept besides; they never drop lines outside it.
+nothing; what lies between is kept, links too. Link texts have no length, and a window must hold SURGE characters, or as
+many as the page's densest. Lines of a named article or main part are kept besides; they never drop lines outside it.
 
 Defined results: null or empty html gives an empty text; repeated pages give repeated rows; an empty table gives no
-rows; extra columns are ignored. Unclosed and wrongly nested elements end with the article, the main part or the body.
+rows; extra columns are ignored; short text in no element at all gives an empty text. Unclosed and wrongly nested elements end with the article, the main part or the body.
 """
 
 from __future__ import annotations
@@ -172,7 +172,10 @@ def main_text(page: str | None) -> str:
     """The text between surge and dive points, blocks joined by a blank line."""
     rows = lines(page or "")
     weights = [size for _, size, _ in rows]
-    kept = _between(weights, SURGE)
+    # A page of short blocks surges where it is densest. Text without any element has no blocks to compare.
+    most = max((sum(weights[i : i + WINDOW]) for i in range(len(rows))), default=0)
+    blocks = any(m[3] for m in TOKEN.finditer(page or ""))
+    kept = _between(weights, min(SURGE, most) if blocks else SURGE)
     # A bonus: any length surges in an article or main part, whatever the rest of the page holds.
     named = _between([len(text) if within else 0 for text, _, within in rows], 1)
     return "\n\n".join(text for (text, _, within), a, b in zip(rows, kept, named, strict=True) if text and (a or (b and within)))

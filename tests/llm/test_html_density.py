@@ -5,6 +5,9 @@ from pairloom.llm.html_text import main_text
 LONG = "A paragraph that is long enough to surge over the threshold of the window, with many more words than a menu has."
 CASES = [
     (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><article><p>A card</p></article>", f"{LONG}\n\n{LONG}\n\nA card"),
+    ("<body><div><p>A short article.</p><p>Two lines.</p></div></body>", "A short article.\n\nTwo lines."),
+    (f"<body><p>{LONG}</p><p><a href=1>A whole line of link</a></p><p>{LONG}</p></body>", f"{LONG}\n\nA whole line of link\n\n{LONG}"),
+    (f"<body><p>Short.</p><p><a href=1>link</a></p><p>{LONG}</p></body>", f"Short.\n\nlink\n\n{LONG}"),
     (f"<body><p>{LONG}</p><div class=ad>buy</div><p>{LONG}</p><ul><li><a href=1>Home</a></ul></body>", f"{LONG}\n\n{LONG}"),
 ]
 
