@@ -154,14 +154,26 @@ def encoder(path: str, pattern: str, specials: dict[str, int]):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
 
 
+def loss_mask(enc, ids: list[int], spans: list[dict], length: int) -> np.ndarray:
+    """1 for each of ids, and END after them, that bears loss."""
+    chars = np.zeros(length + 1, np.int64)
+    for span in spans:
+        chars[max(0, span["start"]) : max(0, span["stop"])] = 1
+    chars[length] = chars[length - 1] if length else 0
+    return np.append(chars[enc.decode_with_offsets(ids)[1]] if ids else chars[:0], chars[length])
+
+
+SPANS = "array<struct<start:int,stop:int>>"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``vocabulary`` names a file of the public_tokenizers package, which every executor has.
+    ``vocabulary`` names a file of the public_tokenizers package, which every executor has. ``loss_col`` is an array of
+    (start, stop) character spans of the text: tokens that begin in one bear loss, and END does if the last character
+    does. Without the column, or where it is null, every token bears loss.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,16 +187,32 @@ def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str = "byte_bpe
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=ARROW)
 
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            for key, text, spans in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 ids = enc.encode(text.as_py() or "", allowed_special="all")
+                loss = None if spans.as_py() is None else loss_mask(enc, ids, spans.as_py(), len(text.as_py() or ""))
                 ids.append(END)
-                packer.add(key.as_py(), np.array(ids, "<u4"))
+                packer.add(key.as_py(), np.array(ids, "<u4"), loss)
                 if len(packer.pieces) >= 20_000:
                     yield out()
         packer.close()
         yield out()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(task, SCHEMA)
+    spans = F.lit(None) if loss_col is None else F.col(loss_col)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), spans.cast(SPANS).alias("spans")).mapInArrow(task, SCHEMA)
+
+
+def from_turns(turns: DataFrame, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """doc_id, text (turns joined by \\n) and spans (the turns of ``roles``) of every conversation, for pack()."""
+    rows = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+
+    def step(done, turn):
+        end = done["at"] + F.length(turn["text"])
+        span = F.array(F.struct(done["at"].alias("start"), end.alias("stop"))).cast(SPANS)
+        mine = F.coalesce(turn["role"].isin(*roles), F.lit(False))
+        return F.struct((end + 1).alias("at"), F.when(mine, F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+
+    return rows.select("doc_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"), F.aggregate("t", zero, step)["spans"].alias("spans"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
