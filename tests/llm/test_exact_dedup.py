@@ -42,3 +42,31 @@ def test_edges(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("1", "t"), ("None", "None")]
     clash = corpus.frame(spark, twice).selectExpr("*", "1 as keep_id", "2 as digest", "3 as copies", "4 as kept", "5 as batch")
     assert E.deduplicate(clash, E.new_index(spark), "x").count() == 4
+
+
+def test_all_in_batches(spark):
+    """A table dealt into one index in batches: later ones lose what earlier ones hold, and the last state is the whole table's."""
+    rows = corpus.rows()
+    index = E.new_index(spark, 3)
+    got = E.deduplicate_all(corpus.frame(spark, rows), index, 4).collect()
+    assert sorted(map(tuple, got)) == expected(rows)
+    per_batch = {r.batch: r["count"] for r in index.rows().groupBy("batch").count().collect()}
+    alone = [set() for _ in range(4)]
+    held = {r.digest: r.batch for r in index.rows().collect()}
+    for r in rows:
+        alone[int(held[hashlib.sha256((r[1] or "").encode()).digest()][-1])].add(r[1] or "")
+    assert len(per_batch) == 4 and sum(per_batch.values()) == len({r[1] or "" for r in rows})
+    assert [per_batch[f"batch-{i}"] for i in range(4)] == [len(a) for a in alone]
+    assert len(index.rows().inputFiles()) == 3  # compacted: one file of each bucket
+    again = E.DigestIndex(spark, index.path, index.base, 3)
+    assert again.generation == index.generation and again.rows().count() == index.rows().count()
+
+
+def test_keep_one_of_equal_ids_and_texts(spark):
+    rows = [(5, None, "x", None, 0), (5, "", "x", None, 0), (5, "a", "b", None, 0), (5, "a", "a", None, 0), (4, "", None, None, 0)]
+    docs = corpus.frame(spark, rows).selectExpr("*", "1 as _digest", "2 as digest", "3 as row", "4 as id", "5 as k_id")
+    got = E.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.lang) for r in got.collect()), key=str) == [(5, "a", "a"), (5, None, "x")]
+    long = [(1, " " * 5_000_000, "", "", 0), (2, " " * 5_000_000, "", "", 0), (3, "x" * 5_000_000, "", "", 0)]
+    assert sorted(r.doc_id for r in E.keep_one(corpus.frame(spark, long)).select("doc_id").collect()) == [2, 3]
