@@ -2,17 +2,16 @@
 
 Every document has a 60-bit hash of its id. A first histogram sums tokens by source and the top HASH_BITS of the hash;
 the source's budget falls into one boundary bucket, and only that bucket is split again by the next bits, until the
-hash is used up. What lies below the threshold is taken: a filter, never a sort of documents; thresholds are nested, as a
-larger budget has a larger one. What one document at the threshold leaves open is filled by a second, smaller round.
+hash is used up or the bucket's rows are few enough for a running sum. What lies below the threshold is taken: a filter,
+never a sort of documents; thresholds are nested, as a larger budget has a larger one. What one document at the threshold leaves open is filled by a second, smaller round.
 
 Defined results: a null or blank text has size 0 and takes nothing; the null source is a source of its own, the last;
-rows with equal ids (or equal hashes) stand or fall together; an empty table gives no rows; extra columns are ignored.
+rows with equal ids (or equal hashes) stand or fall together; texts of any length count whole; an empty table gives no
+rows; extra columns are ignored, whatever their names (repeat() returns them).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +21,8 @@ HASH_BITS = 12
 LEVELS = 5
 #: Sources with at most this many rows of targets are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
+#: Rows of a source's boundary bucket from which on it is split again.
+FEW = 5000
 
 
 def id_hash(col: Column) -> Column:
@@ -31,8 +32,7 @@ def id_hash(col: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of maximal runs without the six ASCII white-space characters."""
-    plain = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    return F.when(plain == "", F.lit(0)).otherwise(F.size(F.split(F.regexp_replace(plain, "  +", " "), " "))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \t\n\x0b\x0c\r]++")).cast("long")
 
 
 def targets(sizes: DataFrame, weights: list[float], max_repeat: float) -> DataFrame:
@@ -74,19 +74,29 @@ def with_key(df: DataFrame) -> DataFrame:
     return df.withColumn("known", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
 
 
-def _boundary(left: DataFrame, hint, tag: str) -> DataFrame:
+def _exact(left: DataFrame) -> DataFrame:
+    """What _cut says of a whole hash at once, by a running sum over the few rows that are left of each source."""
+    # Rows of one hash are peers, so they stand or fall together.
+    rows = left.groupBy("source", "need", "h").agg(F.sum("size").alias("inside"))
+    rows = rows.withColumn("upto", F.sum("inside").over(Window.partitionBy("source").orderBy("h")))
+    edge = rows.where("upto > need").groupBy("source", "need").agg(F.min(F.struct("h", (F.col("upto") - F.col("inside")).alias("below"), "inside")).alias("m"))
+    return edge.select("source", F.col("m.h").alias("cut"), (F.col("need") - F.col("m.below")).alias("gap"), "m.inside")
+
+
+def _boundary(left: DataFrame, hint, tag: str, few: int = FEW) -> DataFrame:
     """Per source of ``left`` (source, h, size, need): cut, the hash at which need is exceeded (no row if it never is),
-    gap (what is lacking below it) and inside (the size at it). Each level keeps only its boundary bucket's rows."""
-    prefix = None
+    gap (what is lacking below it) and inside (the size at it). Each level keeps only its boundary bucket's rows; once
+    no source has more than ``few`` of them, a running sum over them ends the search with the same answer."""
     for level in range(LEVELS):
+        most = left.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+        if most <= few:
+            break
         shift = HASH_BITS * (LEVELS - 1 - level)
         edge = materialise(_cut(left, shift), f"{tag}-edge{level}")
-        part = edge.select("source", F.shiftleft(F.col("bucket").cast("long"), shift).alias(f"b{level}"), (F.col("need") - F.col("below")).alias("gap"), "inside")
-        prefix = part if prefix is None else prefix.drop("gap", "inside").join(part, "source")
-        if level < LEVELS - 1:
-            left = left.join(hint(edge.select("source", "bucket", "below")), "source").where(F.shiftright("h", shift).bitwiseAND((1 << HASH_BITS) - 1) == F.col("bucket"))
-            left = materialise(left.select("source", "h", "size", (F.col("need") - F.col("below")).alias("need")), f"{tag}-boundary{level}")
-    return prefix.select("source", reduce(lambda a, b: a + b, [F.col(f"b{i}") for i in range(LEVELS)]).alias("cut"), "gap", "inside")
+        inside = F.shiftright("h", shift).bitwiseAND((1 << HASH_BITS) - 1) == F.col("bucket")
+        left = left.join(hint(edge.select("source", "bucket", "below")), "source").where(inside)
+        left = materialise(left.select("source", "h", "size", (F.col("need") - F.col("below")).alias("need")), f"{tag}-boundary{level}")
+    return _exact(left)
 
 
 def thresholds(base: DataFrame, weights: list[float], max_repeat: float) -> tuple[DataFrame, bool]:
@@ -141,10 +151,11 @@ def mix(docs: DataFrame, weights: list[float], max_repeat: float = 3.0) -> DataF
 def repeat(docs: DataFrame, weights: list[float], max_repeat: float = 3.0) -> DataFrame:
     """The documents, with all their columns, as often as the mix takes them: a filter on the hash, so texts never move."""
     final, small = thresholds(sizes(docs), weights, max_repeat)
-    final = final.select(F.col("source").alias("_source"), F.col("known").alias("_known"), "whole", "cut", "gap", "cut2")
-    same = (F.coalesce(docs["source"], F.lit("")) == F.col("_source")) & (docs["source"].isNotNull() == F.col("_known"))
-    often = docs.join(F.broadcast(final) if small else final, same).withColumn("_n", passes(word_count(docs["text"]), id_hash(docs["doc_id"])))
-    return often.where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    # A struct holds the input's columns, so their names can't clash with those used here.
+    rows = with_key(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), id_hash(docs["doc_id"]).alias("h")))
+    final = final.select("source", "known", "whole", "cut", "gap", "cut2")
+    often = rows.join(F.broadcast(final) if small else final, ["source", "known"]).select("row", passes(F.col("size"), F.col("h")).alias("n")).where("n > 0")
+    return often.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
 
 
 WEIGHTS = [5.0, 2.0, 1.0]
@@ -155,4 +166,29 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_mixing": op6_mixing}
-ORACLE: dict[str, str] = {}
+#: The thresholds as running sums over (source, hash); the level of the targets is the one that no cap undercuts.
+ORACLE = {
+    "op6_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\x0c\r]+'))::BIGINT AS size,
+                          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS k FROM d GROUP BY source),
+        w AS (SELECT *, ([5.0, 2.0, 1.0])[((k - 1) % 3 + 1)::INT]::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM s),
+        l AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        v AS (SELECT arg_min(level, cap / w) FILTER (level <= cap / w) AS level FROM l),
+        t AS (SELECT source, k, source_size, least(cap, (SELECT level FROM v) * w)::DOUBLE AS target FROM w),
+        p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+        n AS (SELECT *, target - whole * source_size AS need FROM p),
+        a AS (SELECT k, h, sum(size) AS inside, need FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source WHERE size > 0 AND need > 0 GROUP BY k, h, need),
+        b AS (SELECT *, sum(inside) OVER (PARTITION BY k ORDER BY h) AS upto FROM a),
+        c AS (SELECT k, min(h) AS cut, arg_min(need - (upto - inside), h) AS gap FROM b WHERE upto > need GROUP BY k),
+        e AS (SELECT k, h, sum(size) AS inside, gap FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source JOIN c USING (k) WHERE size > 0 AND h > cut AND size <= gap GROUP BY k, h, gap),
+        f AS (SELECT *, sum(inside) OVER (PARTITION BY k ORDER BY h) AS upto FROM e),
+        g AS (SELECT k, min(h) AS cut2, arg_min(gap - (upto - inside), h) AS gap2, arg_min(inside, h) AS inside2 FROM f WHERE upto > gap GROUP BY k),
+        x AS (SELECT d.doc_id, d.size, n.source_size, n.target, CASE WHEN size = 0 THEN 0 ELSE whole + CASE
+                  WHEN need <= 0 THEN 0 WHEN cut IS NULL OR h < cut THEN 1
+                  WHEN h > cut AND size <= gap AND (cut2 IS NULL OR h < cut2 + (gap2 * 2 >= inside2)::INT) THEN 1 ELSE 0 END END AS passes
+              FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN c USING (k) LEFT JOIN g USING (k))
+        SELECT doc_id, size, source_size, target, (size * passes)::BIGINT AS taken FROM x
+    """
+}
