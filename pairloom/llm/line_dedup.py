@@ -7,12 +7,13 @@ if the share of its tokens that stay is at least ``similarity``; one that ``min_
 all of them. Prose lines that share a leaf by chance keep few of their tokens, so they have no template.
 
 Only lines of leaves that enough documents reach are looked at twice. Leaves are broadcast up to BROADCAST_LEAVES, else
-joined by shuffle; equal lines are counted together before anything is exploded, so hot lines are one row per task.
+joined by shuffle; equal lines are counted together before anything is exploded, so hot lines are one row per task, and
+hot lines and templates are broadcast (join_groups) instead of joined by key. Lines and templates are named by 128 bits.
 
 Defined results: a null text counts as empty; blank lines are never dropped; lines end at \\n and keep their other
 characters; tokens are separated by single spaces, after tabs and carriage returns count as spaces and ends are trimmed;
-rows that repeat id and text count once and get equal results; a null id is kept; an empty table gives no rows; extra
-columns are ignored.
+rows that repeat id and text count once and get equal results; a null id is kept; lines and tokens of any length are
+read whole, in one pass; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialise, table
+from pairloom.llm.common import join_groups, materialise, table
 
 LEAD = 3
 #: Ways down the tree of relative_lines, by windows of a line's tokens: fields in some of them leave the others.
@@ -30,8 +31,14 @@ WINDOWS = 4
 MIN_DOCS = 5
 SIMILARITY = 0.7
 BROADCAST_LEAVES = 200_000
-#: What stands for a variable field, and the tokens that are one by themselves.
-WILDCARD, VARIABLE = "<*>", "[^ ]*[0-9][^ ]*"
+#: What stands for a variable field, and the tokens that are one by themselves. A token is tried at its start only and
+#: never twice, so a text's length in one token costs one pass.
+WILDCARD, VARIABLE = "<*>", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+
+
+def _name(*parts: Column) -> Column:
+    """128 bits that stand for strings and numbers: enough for any corpus without a collision."""
+    return F.unhex(F.md5(F.concat_ws("\n", *[p.cast("string") for p in parts])))
 
 
 def _plain(line: Column) -> Column:
@@ -40,9 +47,9 @@ def _plain(line: Column) -> Column:
 
 
 def _leaf(plain: Column) -> Column:
-    """The path in the tree as one number: token count and leading tokens."""
+    """The path in the tree: token count and leading tokens."""
     count = F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit("")))
-    return F.xxhash64(count, F.regexp_replace(F.substring_index(plain, " ", LEAD), VARIABLE, WILDCARD))
+    return _name(count, F.regexp_replace(F.substring_index(plain, " ", LEAD), VARIABLE, WILDCARD))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -51,6 +58,28 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.where("plain <> ''").select("id", "h", "place", "plain", _leaf(F.col("plain")).alias("leaf"))
 
 
+def _forms(found: DataFrame) -> DataFrame:
+    """Equal lines once: key, leaf, masked, n (documents that have them) and rows (lines)."""
+    each = found.groupBy("key", "id", "h").agg(F.any_value("leaf").alias("leaf"), F.any_value("masked").alias("masked"), F.count(F.lit(1)).alias("rows"))
+    forms = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.any_value("leaf").alias("leaf"), F.any_value("masked").alias("masked"))
+    return materialise(forms, "forms")
+
+
+def _of_common_templates(found: DataFrame, templates: DataFrame, forms: DataFrame, min_docs: int) -> DataFrame:
+    """id, h, place, template of the lines of ``found`` whose template ``min_docs`` documents have.
+
+    Lines and templates that very many rows have are broadcast instead of joined by key, so no task gets all of one.
+    """
+    total = found.count()
+    templates = materialise(templates.join(forms.select("key", "rows"), "key"), "templates")
+    seen = join_groups(found.select("id", "h", "place", "key"), templates, "key", "rows", total).select("id", "h", "place", "tkey", "template")
+    seen = materialise(seen, "seen")
+    each = seen.groupBy("tkey", "id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    often = each.groupBy("tkey").agg(F.count(F.lit(1)).alias("docs"), F.sum("rows").alias("rows")).where(F.col("docs") >= min_docs)
+    often = materialise(often.select("tkey", "rows"), "common-templates")
+    return join_groups(seen, often, "tkey", "rows", total).select("id", "h", "place", "template")
+
+
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """id, h, place, template of the lines that go. ``docs`` has id, h and text without nulls in text."""
     lines = _lines(docs)
@@ -58,20 +87,16 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float =
     leaves = materialise(leaves, "leaves")
     found = lines.join(F.broadcast(leaves), "leaf") if leaves.count() <= BROADCAST_LEAVES else lines.join(leaves, "leaf")
     found = found.withColumn("masked", F.regexp_replace("plain", VARIABLE, WILDCARD))
-    found = materialise(found.select("id", "h", "place", "leaf", "masked", F.xxhash64("leaf", "masked").alias("key")), "lines")
-    # Equal lines once, with the number of documents that have them.
-    forms = found.groupBy("key", "id", "h").agg(F.any_value("leaf").alias("leaf"), F.any_value("masked").alias("masked")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.any_value("leaf").alias("leaf"), F.any_value("masked").alias("masked"))
-    forms = materialise(forms, "forms")
+    found = materialise(found.select("id", "h", "place", "leaf", "masked", _name(F.hex("leaf"), F.col("masked")).alias("key")), "lines")
+    forms = _forms(found)
     tokens = forms.select("key", "leaf", "n", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("support")).where((F.col("support") >= min_docs) & (F.col("token") != WILDCARD))
     kept = tokens.join(support, ["leaf", "at", "token"], "left")
     stays = F.col("support").isNotNull()
     # A line's tokens are one row each here; they meet again by the line's key.
     whole = kept.groupBy("key", "leaf").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(stays, F.col("token")).otherwise(F.lit(WILDCARD)).alias("t")))), lambda x: x["t"]), " ").alias("template"), F.avg(stays.cast("double")).alias("share"))
-    templates = materialise(whole.where(F.col("share") >= similarity).select("key", F.xxhash64("leaf", "template").alias("tkey"), "template"), "templates")
-    seen = found.select("id", "h", "place", "key").join(templates, "key")
-    often = seen.groupBy("tkey", "id", "h").agg(F.lit(1).alias("one")).groupBy("tkey").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-    return seen.join(often, "tkey").select("id", "h", "place", "template")
+    templates = whole.where(F.col("share") >= similarity).select("key", _name(F.hex("leaf"), F.col("template")).alias("tkey"), "template")
+    return _of_common_templates(found, templates, forms, min_docs)
 
 
 def relative_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
@@ -84,8 +109,7 @@ def relative_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     A line may come twice. What may stay: a line whose field holds, by chance, a token that is frequent at that place.
     """
     found = _candidates(docs, min_docs)
-    forms = found.groupBy("key", "id", "h").agg(F.any_value("leaf").alias("leaf"), F.any_value("masked").alias("masked")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.any_value("leaf").alias("leaf"), F.any_value("masked").alias("masked"))
-    forms = materialise(forms, "forms")
+    forms = _forms(found)
     tokens = forms.select("key", "leaf", F.col("n"), F.posexplode(F.split("masked", " ")).alias("at", "token"))
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs)
     kept = tokens.join(support, ["leaf", "at", "token"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
@@ -94,14 +118,12 @@ def relative_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     spare = (F.size("t") - F.ceil(F.size("t") * F.lit(similarity) - 1e-9)).cast("int")
     whole = whole.withColumn("least", F.get(F.array_sort(F.transform("t", lambda x: x["support"])), spare)).where(F.col("least") >= min_docs)
     whole = whole.withColumn("t", F.transform("t", lambda x: F.when(x["support"] >= F.col("least"), x["token"]).otherwise(F.lit(WILDCARD))))
-    templates = whole.where(F.exists("t", lambda x: x != WILDCARD)).select("key", F.xxhash64("leaf", "t").alias("tkey"), F.array_join("t", " ").alias("template"))
-    templates = materialise(templates, "templates")
-    seen = found.select("id", "h", "place", "key").join(templates, "key")
-    often = seen.groupBy("tkey", "id", "h").agg(F.lit(1).alias("one")).groupBy("tkey").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    templates = whole.where(F.exists("t", lambda x: x != WILDCARD)).select("key", _name(F.col("leaf"), F.array_join("t", " ")).alias("tkey"), F.array_join("t", " ").alias("template"))
+    out = _of_common_templates(found, templates, forms, min_docs)
     # Repeats of a masked line go whatever its template is.
-    repeats = forms.where(F.col("n") >= min_docs).select("key", F.col("masked").alias("template"))
-    same = found.select("id", "h", "place", "key").join(repeats, "key")
-    return seen.join(often, "tkey").select("id", "h", "place", "template").unionByName(same.select("id", "h", "place", "template"))
+    repeats = forms.where(F.col("n") >= min_docs).select("key", "rows", F.col("masked").alias("template"))
+    same = join_groups(found.select("id", "h", "place", "key"), repeats, "key", "rows", found.count())
+    return out.unionByName(same.select("id", "h", "place", "template"))
 
 
 def _candidates(docs: DataFrame, min_docs: int) -> DataFrame:
@@ -124,7 +146,7 @@ def _candidates(docs: DataFrame, min_docs: int) -> DataFrame:
     masked = F.regexp_replace("plain", VARIABLE, WILDCARD)
     words = F.replace(F.replace(masked, F.lit(WILDCARD), F.lit("")), F.lit(" "), F.lit("")) != ""
     found = found.select("id", "h", "place", F.size(F.split("plain", " ")).alias("leaf"), F.when(words, masked).otherwise(F.col("plain")).alias("masked"))
-    return materialise(found.withColumn("key", F.xxhash64("masked")), "lines")
+    return materialise(found.withColumn("key", _name(F.col("masked"))), "lines")
 
 
 def _paths(plain: Column) -> Column:
@@ -134,7 +156,7 @@ def _paths(plain: Column) -> Column:
         n = F.size(t)
         width = F.greatest(F.lit(1), F.least(F.lit(3), F.floor(n / 4).cast("int")))
         window = F.array_join(F.slice(t, F.floor(n * i / WINDOWS).cast("int") + 1, width), " ")
-        return F.xxhash64(F.lit(i), n, F.regexp_replace(window, VARIABLE, WILDCARD))
+        return _name(F.lit(i), n, F.regexp_replace(window, VARIABLE, WILDCARD))
 
     # A function's argument is computed once, the paths of it are not.
     return F.transform(F.array(F.split(plain, " ")), lambda t: F.array(*[path(t, i) for i in range(WINDOWS)]))[0]

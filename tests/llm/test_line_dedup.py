@@ -63,3 +63,16 @@ def test_variable_fields_generalise(spark):
 
 def test_empty(spark):
     assert L.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_tokens_take_one_pass(spark):
+    """A token without a digit is not searched again from each of its characters."""
+    import time
+
+    long = [(i, f"{'x' * 2_000_000} {'é' * 100_000}1 tail\n{' ' * 1_000_000}\n{'word ' * 200_000}", "", "", 0) for i in range(6)]
+    began = time.time()
+    got = L.deduplicate(corpus.frame(spark, long)).select("doc_id", "n_lines", "n_dropped").collect()
+    assert time.time() - began < 60
+    assert sorted((r.doc_id, r.n_lines) for r in got) == [(i, 3) for i in range(6)]
+    clash = corpus.frame(spark, corpus.rows(20)).selectExpr("*", "1 as id", "2 as h", "3 as key", "4 as leaf", "5 as gone", "6 as place")
+    assert L.deduplicate(clash).count() == len(corpus.rows(20)) and L.deduplicate(corpus.frame(spark, [])).count() == 0
