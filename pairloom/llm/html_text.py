@@ -4,10 +4,14 @@ Markup is stripped into lines, one per block element; containers that a page mar
 (menus, forms, adverts and so on) leave an empty line. The lengths of the lines are summed over sliding windows of
 WINDOW lines. The text surges where a window's sum first exceeds the threshold and dives where the next windows hold
 nothing; what lies between is kept, links too. Link texts have no length, and a window must hold SURGE characters, or as
-many as the page's densest. Lines of a named article or main part are kept besides; they never drop lines outside it.
+many as the page's densest. Tags decide in one way only: a marked container is cut out in stripping, so its lines count
+nothing. An article or main element keeps nothing by itself; it only ends what was left open before it, and headers and
+articles inside it are told from the page's own.
 
 Defined results: null or empty html gives an empty text; repeated pages give repeated rows; an empty table gives no
-rows; extra columns are ignored; short text in no element at all gives an empty text. Unclosed and wrongly nested elements end with the article, the main part or the body.
+rows; extra columns are ignored; short text in no element at all gives an empty text. Unclosed and wrongly nested
+elements end with the article, the main part or the body; an unclosed comment or script reaches to the page's end; text
+after a "<" that no ">" follows is text. A page of any length takes one pass.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ from pairloom.llm.common import table
 WINDOW = 3
 SURGE = 80
 
-#: A comment, a declaration, an element whose content is no text, or a tag.
-TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|svg|iframe|object|textarea|title|math|canvas|audio|video|select)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Elements whose content is no text, up to their end tag.
+RAW = frozenset("script style noscript template svg iframe object textarea title math canvas audio video select".split())
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: A tag's rest: quotes hide a ">".
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+#: After so many tags whose quotes never close, quotes hide nothing any more on that page.
+UNCLOSED = 8
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -70,9 +75,58 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines as (text, length outside links, lies in an article or main part); empty where something was cut out."""
-    out: list[tuple[str, int, bool]] = []
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(first, end, name, closes, attributes) of what is no text: tags, and with an empty name comments, declarations and
+    elements without text. One pass: what was not found from one place on is not looked for again from a later one."""
+    at, n, unclosed = 0, len(page), 0
+    ends: dict[str, re.Pattern] = {}
+    missing: set[str] = set()  # raw elements that no end tag follows
+    no_comment_end = False
+
+    def plain_end(i: int) -> int:
+        return page.find(">", i) + 1
+
+    while (at := page.find("<", at)) >= 0:
+        first = at
+        if page.startswith("<!--", at):
+            end = 0 if no_comment_end else page.find("--", at + 4)
+            while end > 0 and not page.startswith((">", "!>"), end + 2):
+                end = page.find("--", end + 1)
+            no_comment_end = no_comment_end or end <= 0
+            at = n if end <= 0 else page.index(">", end) + 1
+            yield first, at, "", False, ""
+        elif page.startswith(("<!", "<?"), at):
+            end = plain_end(at)
+            if not end:
+                return  # no tag ends from here on
+            at = end
+            yield first, at, "", False, ""
+        elif m := NAME.match(page, at + 1):
+            rest = REST.match(page, m.end()) if unclosed < UNCLOSED else None
+            end = rest.end() if rest else plain_end(m.end())
+            unclosed += rest is None
+            if not end:
+                return
+            name, closes, attributes, at = m[2].lower(), m[1] == "/", page[m.end() : end - 1], end
+            if name not in RAW or closes or attributes.endswith("/"):
+                yield first, at, name, closes, attributes
+                continue
+            found = None
+            if name not in missing:
+                if name not in ends:
+                    ends[name] = re.compile(f"</{name}\\s*+>", re.IGNORECASE)
+                found = ends[name].search(page, at)
+            if found is None:
+                missing.add(name)
+            at = found.end() if found else n
+            yield first, at, "", False, ""
+        else:
+            at += 1
+
+
+def lines(page: str) -> list[tuple[str, int]]:
+    """The page's lines as (text, length outside links); empty where something was cut out."""
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
     linked = 0
     skip: list = []  # name and open elements of that name of the container being skipped
@@ -85,25 +139,23 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, max(0, len(text) - linked), inside > 0))
+                out.append((text, max(0, len(text) - linked)))
             parts.clear()
         linked = 0
 
     def gap() -> None:
         if out and out[-1][0]:
-            out.append(("", 0, False))
+            out.append(("", 0))
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at and not skip:
-            text = page[at : m.start()]
+    for first, end, name, closes, attributes in tokens(page):
+        if first > at and not skip:
+            text = page[at:first]
             parts.append(text)
             if anchors:
                 linked += len(text)
-        at = m.end()
-        name = m[3]
-        if name is None:
+        at = end
+        if not name:
             continue
-        name, closes = name.lower(), m[2] == "/"
         edge = name in ("article", "main")
         if skip and skip[0] == "p" and name in BLOCKS and (name != "p" or not closes):
             skip = []  # any block ends a paragraph
@@ -113,7 +165,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             elif name in ("body", "html") or (closes and edge and inside and skip[0] != name):
                 skip = []
             elif name == skip[0]:
-                skip[1] += -1 if closes else not m[4].endswith("/")
+                skip[1] += -1 if closes else not attributes.endswith("/")
                 if skip[1] <= 0:
                     skip = []
                 continue
@@ -131,10 +183,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 if not inside:
                     gap()
             continue
-        if name not in VOID and _marked(name, m[4], inside > 0):
+        if name not in VOID and _marked(name, attributes, inside > 0):
             if name in BLOCKS or name in OTHER:
                 gap()
-            if not m[4].endswith("/"):
+            if not attributes.endswith("/"):
                 skip = [name, 1]
         elif edge:
             gap()
@@ -171,14 +223,12 @@ def _between(weights: list[int], least: int) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The text between surge and dive points, blocks joined by a blank line."""
     rows = lines(page or "")
-    weights = [size for _, size, _ in rows]
+    weights = [size for _, size in rows]
     # A page of short blocks surges where it is densest. Text without any element has no blocks to compare.
     most = max((sum(weights[i : i + WINDOW]) for i in range(len(rows))), default=0)
-    blocks = any(m[3] for m in TOKEN.finditer(page or ""))
+    blocks = any(name for _, _, name, _, _ in tokens(page or ""))
     kept = _between(weights, min(SURGE, most) if blocks else SURGE)
-    # A bonus: any length surges in an article or main part, whatever the rest of the page holds.
-    named = _between([len(text) if within else 0 for text, _, within in rows], 1)
-    return "\n\n".join(text for (text, _, within), a, b in zip(rows, kept, named, strict=True) if text and (a or (b and within)))
+    return "\n\n".join(text for (text, _), inside in zip(rows, kept, strict=True) if text and inside)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
