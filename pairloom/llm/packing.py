@@ -7,13 +7,15 @@ item is cut to fill the bin, so that only a task's last sequence, or one whose s
 padded. Memory: the pool (``POOL`` items shorter than a sequence) and one Arrow batch.
 
 Defined results: a null text counts as empty, and an empty text is the one id END; a null id is kept as null; repeated
-rows are packed as often as they occur; an empty table gives no rows; extra columns are ignored. A task that runs again
-on the same split gives the same sequences.
+rows are packed as often as they occur; texts of any length are cut, long runs of white space included; an empty table
+gives no rows; extra columns are ignored, whatever their names. A task that runs again on the same split gives the same
+sequences.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -154,6 +156,28 @@ def encoder(path: str, pattern: str, specials: dict[str, int]):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
 
 
+#: Unicode white space. The tokenizer's search for the end of a run of it goes as deep as the run is long.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANK = re.compile(f"[{BLANKS}]{{5000,}}+")
+
+
+def encode(enc, text: str) -> list[int]:
+    """The ids of a text of any length.
+
+    A long run of white space is handed over as the one piece that the pattern makes of it: all of it at the end of a
+    text, else all but its last character, which belongs to what follows. Pieces never reach from text into white space.
+    """
+    ids: list[int] = []
+    at = 0
+    for run in LONG_BLANK.finditer(text):
+        last = run.end() == len(text) or any(text.startswith(x, run.end()) for x in enc.special_tokens_set)
+        end = run.end() - (not last)
+        ids += enc.encode(text[at : run.start()], allowed_special="all")
+        ids += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + enc.encode(text[at:], allowed_special="all")
+
+
 def loss_mask(enc, ids: list[int], spans: list[dict], length: int) -> np.ndarray:
     """1 for each of ids, and END after them, that bears loss."""
     chars = np.zeros(length + 1, np.int64)
@@ -188,7 +212,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str = "byte_bpe
 
         for batch in batches:
             for key, text, spans in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                ids = enc.encode(text.as_py() or "", allowed_special="all")
+                ids = encode(enc, text.as_py() or "")
                 loss = None if spans.as_py() is None else loss_mask(enc, ids, spans.as_py(), len(text.as_py() or ""))
                 ids.append(END)
                 packer.add(key.as_py(), np.array(ids, "<u4"), loss)
