@@ -3,13 +3,16 @@
 Writing: captures are joined to the group of their payload digest (one html shuffle), sorted by reversed-host URL key
 within each task, and written one gzip member per record. Indexing: capture entries are range-partitioned by (key,
 page_id), so a very common URL or host spreads over shards, and written as compressed blocks of BLOCK entries with a
-sparse directory of first keys. Looking up: a binary search over shards, then over a shard's directory, a range read of
-one block or two, and a range read of the record. Reading everything back goes through the same entries, dealt out by
-archive so that each task reads its archives front to back. Rows that Spark commits name the files that count.
+sparse directory of first keys. Looking up: a binary search over shards, then over a shard's directory, then in the block
+that a range read brings, and range reads of the records, dealt out by archive so that each task reads its archives front
+to back. Many URLs are looked up together: a shard's keys in order, in one forward pass over its directory. The query
+reads its records back that way only. Rows that Spark commits name the files that count; what a failed attempt left
+behind is never named.
 
 Defined results: null html is an empty payload; a null URL has the key "-"; a null page_id sorts below all others and
-is kept as null; of repeated rows at most one is the response; an empty table writes nothing and reads as no rows;
-extra columns are ignored.
+is kept as null; of repeated rows at most one is the response, that with the least URL (null first); an empty table
+writes nothing and reads as no rows; payloads of any length are one record; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ import base64
 import re
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from hashlib import sha1
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import join_groups, materialise, scratch_path, table
@@ -98,19 +101,27 @@ def parse(data: bytes) -> dict:
 
 def assign(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages with refers_to and revisit: of payloads of ``least`` bytes or more, the largest page_id's is the response."""
-    rows = pages.select(F.coalesce("page_id", F.lit(NONE)).alias("id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    sums = rows.select("id", F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("digest"), (F.octet_length("html") >= least).alias("large"))
+    rows = pages.select(F.coalesce("page_id", F.lit(NONE)).alias("id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
+    sums = rows.select("id", "digest", (F.octet_length("html") >= least).alias("large"))
     members = materialise(sums.groupBy("digest", "id", "large").agg(F.count(F.lit(1)).alias("copies")), "captures")
     groups = materialise(members.groupBy("digest").agg(F.max("id").alias("top"), F.sum("copies").alias("n")), "payload-groups")
     total = members.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     # Only rows of groups with more than one row need to know anything; the others are responses.
     known = join_groups(members.where("large"), groups.where("n > 1"), "digest", "n", total).select("id", "digest", "top")
-    rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
-    rows = rows.join(known.hint("merge"), ["id", "digest"], "left")
-    again = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(1))) > 1
-    rows = rows.withColumn("revisit", F.col("top").isNotNull() & ((F.col("id") != F.col("top")) | again))
+    known = materialise(known, "known")
+    twice = members.where("large and copies > 1").select("id", "digest")
+    if twice.isEmpty():
+        marked = rows.join(known.hint("merge"), ["id", "digest"], "left").withColumn("first", F.lit(True))
+    else:  # equal captures are counted before any of them moves: one row of each url, written as often as it occurs
+        again = rows.join(twice.hint("merge"), ["id", "digest"], "left_semi").groupBy("id", "digest", "url").agg(F.any_value("html").alias("html"), F.count(F.lit(1)).alias("copies"))
+        heads = again.groupBy("id", "digest").agg(F.min(F.struct(F.col("url").isNotNull(), "url")).alias("head"))
+        again = again.join(heads, ["id", "digest"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        again = again.select("id", "url", "html", "digest", ((F.col("copy") == 1) & F.col("url").eqNullSafe(F.col("head.url"))).alias("first"))
+        rows = rows.join(twice.hint("merge"), ["id", "digest"], "left_anti").select("id", "url", "html", "digest", F.lit(True).alias("first")).unionByName(again)
+        marked = rows.join(known.hint("merge"), ["id", "digest"], "left")
+    marked = marked.withColumn("revisit", F.col("top").isNotNull() & ((F.col("id") != F.col("top")) | ~F.col("first")))
     real = lambda c: F.when(F.col(c) != NONE, F.col(c))
-    return rows.select(real("id").alias("page_id"), "url", "html", F.when(F.col("revisit"), real("top")).alias("refers_to"), "revisit")
+    return marked.select(real("id").alias("page_id"), "url", "html", F.when(F.col("revisit"), real("top")).alias("refers_to"), "revisit")
 
 
 def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, least: int = 0) -> DataFrame:
@@ -197,58 +208,129 @@ def _record(fs, file: str, offset: int, length: int) -> dict:
         return parse(zlib.decompress(f.read_at(length, offset), wbits=31))
 
 
+class Directory:
+    """The sparse directory of one shard: first keys of its blocks, searched for sorted keys in one forward pass."""
+
+    def __init__(self, fs, root: str, shard: str):
+        self.fs, self.file = fs, f"{root}/{shard}"
+        with fs.open_input_file(f"{self.file}.dir") as f:
+            blocks = pa.ipc.open_file(f).read_all()
+        self.firsts = [x.encode() for x in blocks["key"].to_pylist()]
+        self.offsets, self.lengths = blocks["offset"].to_pylist(), blocks["length"].to_pylist()
+        self.low, self.held, self.probes, self.reads = 0, (-1, None, None), 0, 0
+
+    def _open(self, i: int) -> tuple[pa.Table, list[bytes]]:
+        if self.held[0] != i:
+            found = _block(self.fs, self.file, self.offsets[i], self.lengths[i])
+            self.held = (i, found, [x.encode() for x in found["key"].to_pylist()])
+            self.reads += 1
+        return self.held[1:]
+
+    def find(self, key: bytes) -> Iterator[pa.Table]:
+        """The entries of ``key``; keys must come in order, as the search begins at the block of the last one."""
+        self.probes += 1
+        i = self.low = max(self.low, bisect_left(self.firsts, key, lo=self.low) - 1)
+        while i < len(self.firsts) and self.firsts[i] <= key:
+            block, keys = self._open(i)
+            low, high = bisect_left(keys, key), bisect_right(keys, key)
+            if low < high:
+                yield block.slice(low, high - low)
+            if high < len(keys):
+                return
+            i += 1
+
+
+def _shards(index: str) -> tuple:
+    """File system, root, and the shards' names, first and last keys in the order of the keys."""
+    import pyarrow.dataset as ds
+
+    fs, root = _fs(index)
+    found = ds.dataset(f"{root}/_shards", filesystem=fs, format="parquet").to_table().to_pylist()
+    found = sorted(found, key=lambda x: (x["first"].encode(), x["last"].encode()))
+    return fs, root, [x["shard"] for x in found], [x["first"].encode() for x in found], [x["last"].encode() for x in found]
+
+
 class CaptureIndex:
-    """Look up captures of a URL. Holds the list of shards (one row per shard) and opens directories as they are needed."""
+    """Look up captures of one URL at a time. Holds the list of shards (one row per shard) and opens directories as they are needed."""
 
     def __init__(self, index: str, archives: str):
-        import pyarrow.dataset as ds
-
-        self.fs, self.root = _fs(index)
+        self.fs, self.root, self.names, self.firsts, self.lasts = _shards(index)
         self.archives = _fs(archives)[1]
-        shards = ds.dataset(f"{self.root}/_shards", filesystem=self.fs, format="parquet").to_table().to_pylist()
-        self.shards = sorted(shards, key=lambda x: (x["first"].encode(), x["last"].encode()))
-        self.lasts = [x["last"].encode() for x in self.shards]
 
     def entries(self, url: str | None) -> Iterator[dict]:
-        key = surt(url)
-        raw = key.encode()
-        for shard in self.shards[bisect_left(self.lasts, raw) :]:
-            if shard["first"].encode() > raw:
+        raw = surt(url).encode()
+        for i in range(bisect_left(self.lasts, raw), len(self.names)):
+            if self.firsts[i] > raw:
                 return
-            with self.fs.open_input_file(f"{self.root}/{shard['shard']}.dir") as f:
-                directory = pa.ipc.open_file(f)
-                chunks = [directory.get_batch(i) for i in range(directory.num_record_batches)]
-            blocks = pa.Table.from_batches(chunks)
-            firsts = [x.encode() for x in blocks["key"].to_pylist()]
-            for i in range(max(0, bisect_left(firsts, raw) - 1), len(firsts)):
-                if firsts[i] > raw:
-                    break
-                found = _block(self.fs, f"{self.root}/{shard['shard']}", blocks["offset"][i].as_py(), blocks["length"][i].as_py())
-                yield from (x for x in found.to_pylist() if x["key"] == key)
+            for found in Directory(self.fs, self.root, self.names[i]).find(raw):
+                yield from found.to_pylist()
 
     def captures(self, url: str | None) -> list[dict]:
         """The records of all captures of a URL, payloads included; a revisit's payload is that of the record it refers to."""
         return [_record(self.fs, f"{self.archives}/{x['archive']}", x["archive_offset"], x["archive_length"]) for x in self.entries(url)]
 
 
-def index_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Every entry of the index, a task per shard, block after block."""
+FOUND = CAPTURES + ", shard string, probes long, reads long"
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _fs(path)
+
+def lookup(urls: DataFrame, index: str) -> DataFrame:
+    """The index entries (CAPTURES) of every capture of the urls (one column), each url once, and by shard what it cost.
+
+    Keys are dealt to the shards that may hold them, so a key that fills many shards is looked up in each by another
+    task. A task goes through a shard's keys in order: a binary search in the directory, then one in the block. The last
+    row of a shard has no archive and counts its probes and the blocks it read.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, names, firsts, lasts = _shards(index)
+        seen: set[str] = set()
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                with fs.open_input_file(f"{root}/{shard}.dir") as f:
-                    blocks = pa.ipc.open_file(f).read_all()
-                for offset, length in zip(blocks["offset"].to_pylist(), blocks["length"].to_pylist(), strict=True):
-                    yield from _block(fs, f"{root}/{shard}", offset, length).to_batches()
+            out: list[tuple[str, str]] = []
+            for url in batch.column(0).to_pylist():
+                key = surt(url)
+                if key in seen:
+                    continue
+                seen.add(key)
+                raw = key.encode()
+                for i in range(bisect_left(lasts, raw), len(names)):
+                    if firsts[i] > raw:
+                        break
+                    out.append((names[i], key))
+                if len(seen) > 100_000:
+                    seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*out, strict=True)) or [(), ()])], names=["shard", "key"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _fs(index)
+        held = None
+
+        def out(table_: pa.Table | None, d: str, probes: int | None, reads: int | None) -> Iterator[pa.RecordBatch]:
+            if table_ is None:
+                table_ = pa.Table.from_arrays([pa.nulls(1, f.type) for f in ENTRY], schema=ENTRY)
+            n = table_.num_rows
+            for name, value, kind in (("shard", d, pa.string()), ("probes", probes, pa.int64()), ("reads", reads, pa.int64())):
+                table_ = table_.append_column(name, pa.array([value] * n, kind))
+            yield from table_.combine_chunks().to_batches()
 
-    shards = spark.read.schema("shard string").parquet(f"{path}/_shards")
-    return shards.mapInArrow(task, CAPTURES)
+        for batch in batches:
+            for shard, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held is None or held[0] != shard:
+                    if held is not None:
+                        yield from out(None, held[0], held[1].probes, held[1].reads)
+                    held = (shard, Directory(fs, root, shard))
+                found = list(held[1].find(key.encode()))
+                if found:
+                    yield from out(pa.concat_tables(found), shard, None, None)
+        if held is not None:
+            yield from out(None, held[0], held[1].probes, held[1].reads)
 
+    wanted = urls.distinct().mapInArrow(deal, "shard string, key string").distinct()
+    # Keys sort as bytes in Spark and in the index alike.
+    return wanted.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(search, FOUND)
 
-def read_all(spark: SparkSession, index: str, archives: str) -> DataFrame:
-    """Every record that the index names (RECORDS), read in the order of the archives."""
+
+def read(entries: DataFrame, archives: str) -> DataFrame:
+    """The records (RECORDS) of index entries, range-read in the order of the archives."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(archives)
@@ -278,15 +360,35 @@ def read_all(spark: SparkSession, index: str, archives: str) -> DataFrame:
         if f is not None:
             f.close()
 
-    entries = index_entries(spark, index).select("archive", "archive_offset", "archive_length")
+    entries = entries.where("archive is not null").select("archive", "archive_offset", "archive_length")
     dealt = entries.repartition("archive", F.floor(F.col("archive_offset") / SLICE_BYTES)).sortWithinPartitions("archive", "archive_offset")
     return dealt.mapInArrow(task, RECORDS)
 
 
+def index_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Every entry of the index, block after block; one task may take several shards."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _fs(path)
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                whole = Directory(fs, root, shard)
+                for offset, length in zip(whole.offsets, whole.lengths, strict=True):
+                    yield from _block(fs, whole.file, offset, length).to_batches()
+
+    return spark.read.schema("shard string").parquet(f"{path}/_shards").mapInArrow(task, CAPTURES)
+
+
+def read_all(spark: SparkSession, index: str, archives: str) -> DataFrame:
+    """Every record that the index names, for whoever has no urls to ask for."""
+    return read(index_entries(spark, index), archives)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "warc")
-    build_index(write(table(spark, sf_dir, "pages"), f"{path}/archives"), f"{path}/index")
-    return read_all(spark, f"{path}/index", f"{path}/archives").drop("url")
+    """Write, index, look up every page's url, and read the captures found."""
+    path, pages = scratch_path(spark, "warc"), table(spark, sf_dir, "pages")
+    build_index(write(pages, f"{path}/archives"), f"{path}/index")
+    return read(lookup(pages.select("url"), f"{path}/index"), f"{path}/archives").drop("url")
 
 
 QUERIES = {"op8_warc": op8_warc}

@@ -59,3 +59,68 @@ def test_edges(spark):
 @pytest.mark.parametrize(("url", "key"), [("http://www.Example.com/a?b", "com,example,www)/a?b"), ("https://x.y:8080", "y,x:8080)/"), (None, "-"), ("http://[bad", "http://[bad")])
 def test_surt(url, key):
     assert W.surt(url) == key
+
+
+def rows_of(df):
+    return sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in df.collect())
+
+
+def test_batched_lookup_finds_everything_by_probes(spark):
+    """The query's way: every record comes from a probe, and a shard's blocks are opened once at most in one pass."""
+    path = built(spark, pages())
+    urls = spark.createDataFrame([(p[1],) for p in pages()], "url string")
+    found = W.lookup(urls, f"{path}/i").collect()
+    blocks = {r.shard: r.blocks for r in spark.read.parquet(f"{path}/i/_shards").collect()}
+    costs = {r.shard: (r.probes, r.reads) for r in found if r.archive is None}
+    assert len([r for r in found if r.archive is not None]) == len(pages())
+    assert set(costs) == set(blocks) and all(reads <= blocks[d] for d, (_, reads) in costs.items())
+    keys = {W.surt(p[1]) for p in pages()}
+    assert len(keys) <= sum(probes for probes, _ in costs.values()) <= len(keys) + len(blocks)
+    assert rows_of(W.read(W.lookup(urls, f"{path}/i"), f"{path}/a")) == rows_of(W.read_all(spark, f"{path}/i", f"{path}/a"))
+    few = W.lookup(urls.where("url like '%host3%p/3?%'"), f"{path}/i").collect()
+    want = [p[0] for p in pages() if p[1] and "host3" in p[1] and "p/3?" in p[1]]
+    assert want and sorted(r.page_id for r in few if r.archive) == sorted(want) and sum(r.reads for r in few if r.archive is None) < sum(blocks.values())
+    none = spark.createDataFrame([("http://zzz/",), ("http://aaa/",)], "url string")
+    assert [r for r in W.lookup(none, f"{path}/i").collect() if r.archive is not None] == []
+
+
+def test_query_needs_the_search(spark, tmp_path, monkeypatch):
+    """With a directory whose keys name the wrong blocks, the query no longer finds its records."""
+    path = built(spark, pages())
+    urls = spark.createDataFrame([(p[1],) for p in pages()], "url string")
+    import pyarrow as pa
+
+    for name in (r.shard for r in spark.read.parquet(f"{path}/i/_shards").collect()):
+        file = f"{path}/i/{name}.dir".removeprefix("file://")
+        with pa.OSFile(file) as f:
+            t = pa.ipc.open_file(f).read_all()
+        t = t.set_column(1, "offset", t["offset"].to_pylist()[::-1] and pa.array(t["offset"].to_pylist()[::-1])).set_column(2, "length", pa.array(t["length"].to_pylist()[::-1]))
+        with pa.OSFile(file, "wb") as f, pa.ipc.new_file(f, t.schema) as w:
+            w.write_table(t)
+    assert len([r for r in W.lookup(urls, f"{path}/i").collect() if r.archive is not None]) < len(pages())
+
+
+def test_one_url_over_many_shards(spark):
+    rows = [(i, "http://hot.example/", f"{i % 90}") for i in range(400)] + [(None, "http://hot.example/", "same")] * 50 + [(None, None, "same")] * 50
+    path = built(spark, rows, block=5)
+    got = W.read(W.lookup(spark.createDataFrame(rows, SCHEMA).select("url"), f"{path}/i"), f"{path}/a").collect()
+    assert len(got) == 500 and sum(r.record_type == "response" for r in got) == 91
+    long = [(1, "u", " " * 5_000_000), (2, "u", " " * 5_000_000), (3, "u", "x" * 5_000_000)]
+    path = built(spark, long)
+    got = W.read(W.lookup(spark.createDataFrame(long, SCHEMA).select("url"), f"{path}/i"), f"{path}/a").collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got) == [(1, 5_000_000, "revisit"), (2, 5_000_000, "response"), (3, 5_000_000, "response")]
+
+
+def test_files_of_failed_attempts_do_not_count(spark):
+    path = built(spark, pages())
+    before = rows_of(W.read_all(spark, f"{path}/i", f"{path}/a"))
+    for stray in ("a/half.warc.gz", "i/half.cdx", "i/half.cdx.dir"):
+        with open(f"{path}/{stray}".removeprefix("file://"), "wb") as f:
+            f.write(b"torn")
+    urls = spark.createDataFrame([(p[1],) for p in pages()], "url string")
+    assert rows_of(W.read(W.lookup(urls, f"{path}/i"), f"{path}/a")) == before
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame(pages(), SCHEMA).selectExpr("*", "1 as id", "2 as digest", "3 as top", "4 as first", "5 as copies", "6 as large", "7 as n", "8 as revisit")
+    assert W.assign(docs).count() == len(pages())
