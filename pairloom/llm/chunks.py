@@ -8,6 +8,7 @@ keys) to buckets of a hash space and get rows of (chunk, bucket, packed answers)
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,32 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import scratch_path
 
-CHUNK_BYTES = 1 << 20
+#: Bytes of text of a chunk, the least and the most; of one bucket's share; and of one packed row's share.
+CHUNK_BYTES, MOST_CHUNK_BYTES, BUCKET_BYTES, ROW_BYTES = 1 << 20, 8 << 20, 16 << 20, 2048
 #: Stands for a null id; it sorts below all others.
 NONE = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
+class Sizes(NamedTuple):
+    partitions: int
+    chunk_bytes: int
+    buckets: int
+
+
+def plan(docs: DataFrame, least_buckets: int = 1) -> Sizes:
+    """Sizes of chunks and number of buckets for the bytes of text of docs.
+
+    A bucket's task gets BUCKET_BYTES of text's keys or slices, whatever the number of shuffle partitions. Packed rows
+    number chunks times buckets, so chunks grow with the square root of the input to keep a row of ROW_BYTES of text.
+    """
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least_buckets, 4 * partitions, -(-total // BUCKET_BYTES))
+    return Sizes(partitions, min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, ROW_BYTES * buckets)), buckets)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
