@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key is hot when it holds more than this share of all rows, so at most HOT_KEYS keys can be hot.
 HOT_KEYS = 1000
@@ -58,3 +59,23 @@ def join_groups(members: DataFrame, groups: DataFrame, key: str, size: str, tota
     cold_rows = marked.where("_hot is null").drop("_hot").join(groups.where(F.col(size) <= limit), key)
     hot_rows = marked.where("_hot").drop("_hot").join(F.broadcast(groups.where(F.col(size) > limit)), key)
     return cold_rows.unionByName(hot_rows)
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def one_row_each(rows: DataFrame, twice: DataFrame, same: Column, keys: list[str], schema: T.StructType) -> DataFrame:
+    """rows (keys and the struct ``row`` of ``schema``) with one row of those that occur more than once, the least of them.
+
+    ``twice`` names the repeated keys, ``same`` is its join condition. They are rare; only they pass through a grouping
+    that carries whole rows, one row of each task at most, and only if there are any.
+    """
+    if twice.isEmpty():
+        return rows
+    again = rows.join(twice, same, "left_semi").groupBy(*keys).agg((F.min if _orderable(schema) else F.any_value)("row").alias("row"))
+    return rows.join(twice, same, "left_anti").unionByName(again.select(rows.columns))

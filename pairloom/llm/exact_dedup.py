@@ -16,9 +16,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pairloom.llm.common import join_groups, materialise, scratch_path, table
+from pairloom.llm.common import join_groups, materialise, one_row_each, scratch_path, table
 
 #: Batches into which op1 deals its table: each meets an index that holds what the earlier ones appended.
 BATCHES = 3
@@ -144,14 +143,6 @@ def deduplicate_all(docs: DataFrame, index: DigestIndex, batches: int = BATCHES,
     return resolve(members, materialise(_group(members), "digest-groups"), index, names)
 
 
-def _orderable(kind: T.DataType) -> bool:
-    if isinstance(kind, T.StructType):
-        return all(_orderable(f.dataType) for f in kind.fields)
-    if isinstance(kind, T.ArrayType):
-        return _orderable(kind.elementType)
-    return not isinstance(kind, (T.MapType, T.VariantType))
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents whose row stays, with all their columns: the largest doc_id of each text, one row of it."""
     members = materialise(digests(docs), "digests")
@@ -163,13 +154,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), digest(docs["text"]).alias("digest"))
     same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest"))
     rows = rows.join(kept, same, "left_semi")
-    # Rows that repeat id and text are rare; only they pass through a grouping that carries texts, and only if there are any.
     twice = materialise(members.where("copies > 1").select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")), "repeated-rows")
-    if not twice.isEmpty():
-        again = rows.join(twice, same, "left_semi").groupBy("id", "digest")
-        again = again.agg((F.min if _orderable(docs.schema) else F.any_value)("row").alias("row"))
-        rows = rows.join(twice, same, "left_anti").select("row").unionByName(again.select("row"))
-    return rows.select("row.*")
+    return one_row_each(rows, twice, same, ["id", "digest"], docs.schema).select("row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

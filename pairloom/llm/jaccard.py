@@ -1,34 +1,40 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
-1. Texts become sets of word-shingle hashes; equal sets are one vertex from here on, named by its smallest doc_id.
-2. Lossless blocking: sets with Jaccard similarity of at least t share one of their first n - ceil(t n) + 1 shingles in
-   any common order. The order is by how many vertices have a shingle, rare first, counted over all of them, so passages
-   of many documents make no blocks; a shingle of one vertex needs no block at all. Hashes travel as packed arrays, a
-   row per chunk and bucket (chunks.py); a bucket's task chains sets that share a shingle and are close in size, and
-   sends on one edge per set. The edges' components are the candidates.
-3. Within candidates, a set's point has, for each of DIMENSIONS groups, the number of its shingles whose hash falls
-   there. An R-tree over the points bounds the overlap of a set with a node by the sum of the smaller coordinates;
-   subtrees that can't reach the threshold, or lie in the set's own cluster already, are left out, and what survives is
-   verified on the sets. Since clusters count, not links, copies never meet in all pairs.
-4. Candidates of more than GROUP sets are cut by hash into groups; clusters are merged through their first members, and
-   at last what lies outside the largest cluster meets the rest, so that no task holds more than two groups' sets.
+1. Texts become sets of word-shingle hashes; equal sets are one vertex from here on.
+2. Every vertex is a point: for each of DIMENSIONS groups, the number of its shingles whose hash falls there. The
+   overlap of two sets is at most the sum of their points' smaller coordinates.
+3. The R-tree holds the points under one coordinate more, a shingle: sets with a similarity of at least t share one of
+   their first n - ceil(t n) + 1 shingles in any common order, so a vertex is entered under those of its first shingles
+   that another vertex has too. The order is by how many vertices have a shingle, rare first, counted over all of them.
+   Without that coordinate the tree prunes next to nothing: at hundreds of shingles a node of some sets covers all
+   groups. The tree is bulk-loaded: shingles are dealt to tasks by range of hash, a task sorts a range by shingle and
+   size, packs LEAF points to a leaf and LEAF nodes to a node. It is joined with itself level by level: two nodes under
+   one shingle meet if their sizes and the summed minima of their maxima allow the threshold, and points likewise. What
+   survives is a candidate pair; pairs that already hang together are not looked at again, so copies never meet in all
+   pairs. Points and keys travel as packed arrays, a row per chunk and bucket (chunks.py).
+4. Candidates that hang together are verified on their sets, through a tree of their own with the same bound.
+5. Those of more than GROUP sets or GROUP_SHINGLES shingles are cut by hash into groups; clusters are merged through
+   their first members, and at last what lies outside the largest cluster meets the rest, so that no task holds more
+   than two groups' sets.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a null id sorts below all others;
-rows that repeat an id are one vertex, whatever their texts; an empty table gives no rows; extra columns are ignored.
+rows that repeat an id are documents of their own, and a component's name is the smallest id in it; texts of any length
+are read whole; an empty table gives no rows; extra columns are ignored, whatever their names (keep_one() returns them).
+Shingles are named by 64 bits of a hash of their words, words by a cryptographic one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
+from hashlib import blake2b, md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.chunks import CHUNK_BYTES, NONE, SpanHash, batch_of, build, by_bucket, from_low_bytes, low_bytes, rows_of, runs, to_buckets, unpack, with_ids
-from pairloom.llm.common import join_groups, materialise, table
+from pairloom.llm.chunks import NONE, batch_of, build, by_bucket, from_low_bytes, low_bytes, mix64, plan, rows_of, runs, to_buckets, unpack, with_ids
+from pairloom.llm.common import join_groups, materialise, one_row_each, table
 from pairloom.llm.graph import components
 
 WORDS = 5
@@ -36,27 +42,43 @@ WORDS = 5
 NUM, DEN = 75, 100
 DIMENSIONS = 32
 LEAF = 16
-GROUP = 4000
+#: Counts below it are written as they are.
+STEPS = 192
+GROUP, GROUP_SHINGLES = 1000, 1 << 22
+#: Words whose hashes a task remembers.
+REMEMBERED = 1 << 20
 #: A-Z to a-z and the six white-space bytes to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 LOW4 = (1 << 32) - 1
 
 
+class Names(dict):
+    """64 bits of a cryptographic hash of each word."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return found
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of the runs of ``words`` words of a text."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.hash = words, SpanHash()
+        self.words, self.names = words, Names()
 
     def __call__(self, text: bytes) -> np.ndarray:
         parts = text.translate(FOLD).split()
         if not parts:
             return np.zeros(0, np.uint64)
-        raw = np.frombuffer(b" ".join(parts), np.uint8)
-        spaces = np.flatnonzero(raw == 32)
-        starts, ends = np.append(0, spaces + 1), np.append(spaces, len(raw))
+        names = np.fromiter(map(self.names.__getitem__, parts), np.uint64, len(parts))
         k = min(self.words, len(parts))
-        return np.unique(self.hash.spans(self.hash.sums(raw), starts[: len(parts) - k + 1], ends[k - 1 :]))
+        n = len(parts) - k + 1
+        out = np.full(n, k, np.uint64)
+        for i in range(k):
+            out = mix64(out + names[i : i + n])
+        return np.unique(out)
 
 
 class Clusters:
@@ -124,6 +146,134 @@ class CountTree:
                 yield at[(bound * (num + den) >= num * (n + sizes)) & (np.minimum(n, sizes) * den >= num * np.maximum(n, sizes))]
 
 
+def point(found: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """A set's counts by group in a byte each, rounded up from STEPS on, so that a bound never gets too small."""
+    counts = np.bincount((found >> np.uint64(8)).astype(np.int64) % dimensions, minlength=dimensions)
+    large = np.maximum(counts, STEPS)
+    return np.where(counts < STEPS, counts, np.minimum(255, STEPS + np.ceil(4 * np.log2(large / STEPS) - 1e-9))).astype(np.uint8)
+
+
+def counts_of(points: np.ndarray) -> np.ndarray:
+    """Upper bounds of the counts that the bytes of points stand for; the last byte bounds nothing."""
+    steps = np.arange(256, dtype=np.float64)
+    steps[STEPS:] = np.ceil(STEPS * 2 ** ((steps[STEPS:] - STEPS) / 4) + 1e-6)
+    steps[255] = 1 << 40
+    return steps.astype(np.int64)[points]
+
+
+def products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each child of a with each child of b, pair by pair."""
+    step = np.arange(LEAF)
+    return np.repeat(a * LEAF, LEAF * LEAF) + np.tile(np.repeat(step, LEAF), len(a)), np.repeat(b * LEAF, LEAF * LEAF) + np.tile(np.tile(step, LEAF), len(b))
+
+
+class PrefixTree:
+    """Part of the R-tree: points under a range of shingles, joined with itself.
+
+    Arrays of one element per entry: key (shingle), vertex (index of the rest), of which size (number of shingles) and
+    counts (points) have a row per vertex.
+    """
+
+    def __init__(self, key: np.ndarray, vertex: np.ndarray, size: np.ndarray, counts: np.ndarray, num: int = NUM, den: int = DEN):
+        order = np.lexsort((vertex, size[vertex], key))
+        self.vertex, self.num, self.den = vertex[order], num, den
+        self.size, self.counts = size, counts
+        key = key[order]
+        self.begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.end = np.append(self.begin, len(key))[1:]
+
+    def fits(self, least_a, most_a, top_a, least_b, most_b, top_b) -> np.ndarray:
+        """Whether sets of these sizes and counts may link: by the ratio of sizes and by the sum of the smaller counts."""
+        out = (least_a * self.num <= most_b * self.den) & (least_b * self.num <= most_a * self.den)
+        at = np.flatnonzero(out)
+        bound = np.minimum(top_a[at], top_b[at]).sum(1)
+        out[at] = bound * (self.num + self.den) >= self.num * (least_a[at] + least_b[at])
+        return out
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs of entries may link."""
+        a, b = self.vertex[i], self.vertex[j]
+        return self.fits(self.size[a], self.size[a], self.counts[a], self.size[b], self.size[b], self.counts[b])
+
+    def _levels(self, low: int, high: int, label: np.ndarray) -> list[tuple]:
+        """Nodes over the entries low..high-1 of one shingle: first, last entry, least, most size, top counts, and the one
+        cluster that all of a node's entries are in, or -1."""
+        v = self.vertex[low:high]
+        size, counts, label = self.size[v], self.counts[v], label[v]
+        first = np.arange(0, len(v), LEAF)
+        levels = []
+        least, most, top = np.minimum.reduceat(size, first), np.maximum.reduceat(size, first), np.maximum.reduceat(counts, first)
+        one = np.where(np.minimum.reduceat(label, first) == np.maximum.reduceat(label, first), label[first], -1)
+        levels.append((least, most, top, one))
+        while len(least) > 1:
+            at = np.arange(0, len(least), LEAF)
+            least, most, top = np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.maximum.reduceat(top, at)
+            same = np.minimum.reduceat(one, at) == np.maximum.reduceat(one, at)
+            one = np.where(same, one[at], -1)
+            levels.append((least, most, top, one))
+        return levels
+
+    def _descend(self, low: int, high: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of leaves under one shingle that may hold a link between two clusters, level by level from the root."""
+        levels = self._levels(low, high, label)
+
+        def open_(depth: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            least, most, top, one = levels[depth]
+            apart = (one[x] < 0) | (one[x] != one[y])
+            x, y = x[apart], y[apart]
+            good = self.fits(least[x], most[x], top[x], least[y], most[y], top[y])
+            return x[good], y[good]
+
+        a, b = open_(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
+        for depth in range(len(levels) - 2, -1, -1):
+            width = len(levels[depth][0])
+            keep = [(a[:0], b[:0])]
+            for at in range(0, len(a), 1024):
+                x, y = products(a[at : at + 1024], b[at : at + 1024])
+                good = (x < width) & (y < width) & (x <= y)
+                keep.append(open_(depth, x[good], y[good]))
+            a, b = (np.concatenate(c) for c in zip(*keep, strict=True))
+        for at in range(0, len(a), 256):
+            yield a[at : at + 256], b[at : at + 256]
+
+    def join(self) -> tuple[np.ndarray, np.ndarray]:
+        """Edges (vertex, vertex) that hang together whatever the tree can't tell apart."""
+        n = len(self.size)
+        label = np.arange(n)
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal label
+            apart = label[self.vertex[i]] != label[self.vertex[j]]
+            i, j = i[apart], j[apart]
+            good = self.pairs(i, j)
+            x, y = self.vertex[i[good]], self.vertex[j[good]]
+            if len(x):
+                edges.append(stars(label[x], label[y]))
+                moved = np.arange(n)
+                moved[edges[-1][0]] = edges[-1][1]
+                label = moved[label]
+
+        # Neighbours first: copies under one shingle hang together before any pair of nodes is opened.
+        reach = np.repeat(self.end, self.end - self.begin)
+        at = np.arange(len(self.vertex))
+        for step in range(1, LEAF):
+            i = at[at + step < reach]
+            if not len(i):
+                break
+            add(i, i + step)
+        for low, high in zip(self.begin.tolist(), self.end.tolist(), strict=True):
+            if high - low <= LEAF:
+                continue
+            for a, b in self._descend(low, high, label):
+                i, j = products(a, b)
+                good = (i < j) & (low + j < high)
+                add(low + i[good], low + j[good])
+        if not edges:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(c) for c in zip(*edges, strict=True))
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -149,14 +299,14 @@ def link(sets: list[np.ndarray], roots: np.ndarray | None = None, num: int = NUM
 
 
 def _describe(words: int):
-    """Sizes and digests of a chunk's sets."""
+    """Sizes and digests of a chunk's sets, and digests of its texts."""
 
     def begin():
         shingles = Shingler(words)
 
-        def of(parts: list[bytes]) -> tuple[bytes, bytes]:
+        def of(parts: list[bytes]) -> tuple[bytes, bytes, bytes]:
             sets = [shingles(p) for p in parts]
-            return np.array([len(s) for s in sets], "<i4").tobytes(), b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+            return np.array([len(s) for s in sets], "<i4").tobytes(), b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in sets), b"".join(md5(p).digest() for p in parts)
 
         return of
 
@@ -164,15 +314,15 @@ def _describe(words: int):
 
 
 def _sets(chunks: DataFrame) -> DataFrame:
-    """(chunk, place, doc_id, n, sig) of every document."""
-    schema = "chunk long, place long, doc_id long, n long, sig binary"
+    """(chunk, place, doc_id, n, sig, tkey) of every document."""
+    schema = "chunk long, place long, doc_id long, n long, sig binary, tkey binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, ns, sigs in rows_of(batches):
+        for chunk, ids, ns, sigs, tkeys in rows_of(batches):
             keys, sizes = np.frombuffer(ids, "<i8").tolist(), np.frombuffer(ns, "<i4").tolist()
-            yield batch_of(schema, [(chunk, i, k, n, sigs[16 * i : 16 * i + 16]) for i, (k, n) in enumerate(zip(keys, sizes, strict=True))])
+            yield batch_of(schema, [(chunk, i, k, n, sigs[16 * i : 16 * i + 16], tkeys[16 * i : 16 * i + 16]) for i, (k, n) in enumerate(zip(keys, sizes, strict=True))])
 
-    return chunks.select("chunk", "ids", "ns", "sigs").mapInArrow(task, schema)
+    return chunks.select("chunk", "ids", "ns", "sigs", "tkeys").mapInArrow(task, schema)
 
 
 def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -181,15 +331,18 @@ def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Heads:
-    """The shingle keys of a chunk's vertices: keys (distinct, ascending), count of vertices, and each vertex's own."""
+    """The shingles of a chunk's vertices: each vertex's sets one after the other (owner, found), and their keys
+    (distinct, ascending) with the count of shingles that have them."""
 
-    def __init__(self, shingles: Shingler, buckets: int, places: list[int], lengths: np.ndarray, raw: np.ndarray):
+    def __init__(self, shingles: Shingler, buckets: int, places: list, lengths: np.ndarray, raw: np.ndarray):
         ends = np.cumsum(lengths)
-        self.places = sorted(places)
+        self.places = sorted((x["place"], x["rep"]) for x in places)
         data = raw.tobytes()
-        sets = [np.unique(_keys(shingles(data[ends[i] - lengths[i] : ends[i]]), buckets)) for i in self.places]
-        self.owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        self.keys, self.at, self.count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+        self.sets = [shingles(data[ends[i] - lengths[i] : ends[i]]) for i, _ in self.places]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+        self.owner = np.repeat(np.arange(len(self.sets)), self.sizes)
+        self.found = np.concatenate([np.zeros(0, np.uint64), *self.sets])
+        self.keys, self.at, self.count = np.unique(_keys(self.found, buckets), return_inverse=True, return_counts=True)
 
 
 def _send_shingles(joined: DataFrame, buckets: int, words: int) -> DataFrame:
@@ -211,10 +364,13 @@ def _send_shingles(joined: DataFrame, buckets: int, words: int) -> DataFrame:
 
 
 def _rarity(sent: DataFrame, partitions: int) -> DataFrame:
-    """(chunk, bucket, ranks): for each shingle that the chunk sent, twice the binary logarithm of its count, 4 bits."""
+    """(chunk, bucket, ranks): for each shingle that the chunk sent, four times the binary logarithm of its count, a byte."""
     schema = "chunk long, bucket long, ranks binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(3)
         for rows in runs(batches):
             parts = [from_low_bytes(r[2], 4) for r in rows]
             counts = []
@@ -225,65 +381,72 @@ def _rarity(sent: DataFrame, partitions: int) -> DataFrame:
                 counts.append(count)
             names, at = np.unique(np.concatenate(parts), return_inverse=True)
             total = np.bincount(at, np.concatenate(counts), len(names))
-            rank = np.minimum(15, np.round(2 * np.log2(total))).astype(np.uint8)[at]
             out = []
+            rank = np.ceil(4 * np.log2(total)).astype(np.uint8)[at]
             for r, x in zip(rows, np.split(rank, np.cumsum([len(p) for p in parts])[:-1]), strict=True):
-                x = np.append(x, np.zeros(len(x) % 2, np.uint8))
-                out.append((r[1], r[0], (x[::2] | (x[1::2] << 4)).tobytes()))
+                out.append((r[1], r[0], pack.compress(x.tobytes())))
             yield batch_of(schema, out)
 
     return to_buckets(sent, partitions, task, schema)
 
 
 def _send_prefixes(joined: DataFrame, buckets: int, words: int, num: int, den: int) -> DataFrame:
-    """(bucket, chunk, keys, who, ids, ns): the shared ones of each vertex's first shingles, rare first."""
-    schema = "bucket long, chunk long, keys binary, who binary, ids binary, ns binary"
+    """(bucket, chunk, keys, who, ids, ns, points): the shared ones of each vertex's first shingles, rare first, and its point."""
+    schema = "bucket long, chunk long, keys binary, who binary, ids binary, ns binary, points binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(words)
+        import zstandard
+
+        shingles, unzip = Shingler(words), zstandard.ZstdDecompressor().decompress
         for chunk, ids, lengths, text, places, ranks in rows_of(batches):
             ids, lengths, raw = unpack(ids, lengths, text)
             heads = Heads(shingles, buckets, places, lengths, raw)
             rank = np.zeros(len(heads.keys), np.uint8)
             of = {x["bucket"]: x["ranks"] for x in ranks or ()}
             for b, lo, hi in by_bucket(heads.keys >> np.uint64(32)):
-                two = np.frombuffer(of[b], np.uint8)
-                rank[lo:hi] = np.stack([two & 15, two >> 4], 1).ravel()[: hi - lo]
+                rank[lo:hi] = np.frombuffer(unzip(of[b]), np.uint8)
+            # One order for all sets: rarity of the key, then the whole hash.
             mine = rank[heads.at]
-            order = np.lexsort((heads.keys[heads.at], mine, heads.owner))
-            sizes = np.bincount(heads.owner, minlength=len(heads.places))
-            begin = np.cumsum(sizes) - sizes
+            order = np.lexsort((heads.found, mine, heads.owner))
+            begin = np.cumsum(heads.sizes) - heads.sizes
             nth = np.arange(len(order)) - begin[heads.owner[order]]
-            first = sizes - -(-num * sizes // den) + 2  # one more, in case that two keys of a set collide
+            first = heads.sizes - -(-num * heads.sizes // den) + 1
             use = order[(nth < first[heads.owner[order]]) & (mine[order] > 0)]
             key, who = heads.keys[heads.at[use]], heads.owner[use]
-            place = ids[np.array(heads.places, np.int64)]
+            reps = np.array([rep for _, rep in heads.places], np.int64)
+            points = {i: point(heads.sets[i]) for i in np.unique(who).tolist()}
             order = np.argsort(key, kind="stable")
             key, who = key[order], who[order]
             rows = []
             for b, lo, hi in by_bucket(key >> np.uint64(32)):
                 names, local = np.unique(who[lo:hi], return_inverse=True)
-                rows.append((b, chunk, low_bytes(key[lo:hi], 4), local.astype("<u4").tobytes(), place[names].astype("<i8").tobytes(), sizes[names].astype("<i8").tobytes()))
+                rows.append((b, chunk, low_bytes(key[lo:hi], 4), local.astype("<u4").tobytes(), reps[names].astype("<i8").tobytes(), heads.sizes[names].astype("<i8").tobytes(), b"".join(points[i].tobytes() for i in names.tolist())))
             yield batch_of(schema, rows)
 
     return joined.mapInArrow(task, schema)
 
 
-def _chains(sent: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
-    """Edges (a, b) from each set to the first of those it hangs together with in a bucket."""
+def _candidates(sent: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) from each vertex to the first of those that the R-tree lets hang together with it."""
 
     def of_bucket(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        who = [np.frombuffer(r[3], "<u4") for r in rows]
-        h = np.concatenate([from_low_bytes(r[2], 4) for r in rows])
-        rep = np.concatenate([np.frombuffer(r[4], "<i8")[w] for r, w in zip(rows, who, strict=True)])
-        n = np.concatenate([np.frombuffer(r[5], "<i8")[w] for r, w in zip(rows, who, strict=True)])
-        order = np.lexsort((rep, n, h))
-        h, rep, n = h[order], rep[order], n[order]
-        near = (h[1:] == h[:-1]) & (n[:-1] * den >= n[1:] * num) & (rep[1:] != rep[:-1])
-        return rep[1:][near], rep[:-1][near]
+        key = np.concatenate([from_low_bytes(r[2], 4) for r in rows])
+        counts = [len(r[4]) // 8 for r in rows]
+        base = np.cumsum(counts) - counts
+        vertex = np.concatenate([np.frombuffer(r[3], "<u4").astype(np.int64) + b for r, b in zip(rows, base.tolist(), strict=True)])
+        rep, size = (np.concatenate([np.frombuffer(r[i], "<i8") for r in rows]) for i in (4, 5))
+        points = np.concatenate([np.frombuffer(r[6], np.uint8).reshape(-1, DIMENSIONS) for r in rows])
+        # Shingles of one vertex only are no use; most of what was counted twice by a chance collision ends here.
+        order = np.argsort(key, kind="stable")
+        key, vertex = key[order], vertex[order]
+        again = np.zeros(len(key), bool)
+        again[1:] = key[1:] == key[:-1]
+        again[:-1] |= again[1:]
+        a, b = PrefixTree(key[again], vertex[again], size, counts_of(points), num, den).join()
+        return stars(rep[a], rep[b])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [stars(*of_bucket(rows)) for rows in runs(batches)]
+        parts = [of_bucket(rows) for rows in runs(batches)]
         if parts:
             x, y = stars(*(np.concatenate(c) for c in zip(*parts, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
@@ -292,14 +455,14 @@ def _chains(sent: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
 
 
 def _texts(joined: DataFrame) -> DataFrame:
-    """(comp, size, rep, text) of the wanted documents of each chunk."""
-    schema = "comp long, size long, rep long, text binary"
+    """(comp, parts, rep, text) of the wanted documents of each chunk."""
+    schema = "comp long, parts long, rep long, text binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, lengths, text, wanted in rows_of(batches):
-            ids, lengths, raw = unpack(ids, lengths, text)
+            _, lengths, raw = unpack(ids, lengths, text)
             data, ends = raw.tobytes(), np.cumsum(lengths)
-            yield batch_of(schema, [(w["comp"], w["size"], int(ids[w["place"]]), data[ends[w["place"]] - lengths[w["place"]] : ends[w["place"]]]) for w in wanted])
+            yield batch_of(schema, [(w["comp"], w["parts"], w["rep"], data[ends[w["place"]] - lengths[w["place"]] : ends[w["place"]]]) for w in wanted])
 
     return joined.mapInArrow(task, schema)
 
@@ -348,32 +511,36 @@ def _verify(rows: DataFrame, words: int, num: int, den: int, partitions: int) ->
     return sent.mapInArrow(task, "a long, b long")
 
 
-def _large(rows: DataFrame, words: int, num: int, den: int, group: int, partitions: int) -> DataFrame:
-    """Links within candidates of more than ``group`` sets. rows: comp, size, rep, text."""
-    rows = materialise(rows, "large-candidates")
+def _parts(weights: Column, count: Column, group: int) -> Column:
+    """Into how many groups sets are cut, by their number and by their shingles."""
+    return F.greatest(F.ceil(count / group), F.ceil(weights / GROUP_SHINGLES), F.lit(1)).cast("long")
+
+
+def _large(rows: DataFrame, sizes: DataFrame, words: int, num: int, den: int, group: int, partitions: int) -> DataFrame:
+    """Links within candidates of more than one group. rows: comp, parts, rep, text; sizes: rep, n."""
+    rows = materialise(rows.join(sizes, "rep"), "large-candidates")
     links = None
-    labels = rows.select(F.col("rep").alias("node"), F.col("rep").alias("root"))
-    active = rows.select("comp", "rep", "text", F.col("rep").alias("root"), "size")
+    labels = rows.select("comp", F.col("rep").alias("node"), F.col("rep").alias("root"), "n")
+    active = rows.select("comp", "parts", "rep", "text", F.col("rep").alias("root"))
 
     def merged() -> DataFrame:
         found = components(links)
-        return materialise(rows.select("comp", "rep").join(found, F.col("rep") == F.col("node"), "left").select("comp", F.col("rep").alias("node"), F.coalesce("component", "rep").alias("root")), "labels")
+        return materialise(rows.select("comp", "rep", "n").join(found, F.col("rep") == F.col("node"), "left").select("comp", F.col("rep").alias("node"), F.coalesce("component", "rep").alias("root"), "n"), "labels")
 
     for turn in range(3):  # clusters meet through their first members, dealt out anew each turn
-        parts = F.ceil(F.col("size") / group)
-        grp = F.concat_ws(":", "comp", F.pmod(F.xxhash64("rep", F.lit(turn)), parts))
+        grp = F.concat_ws(":", "comp", F.pmod(F.xxhash64("rep", F.lit(turn)), "parts"))
         found = materialise(_verify(active.withColumn("grp", grp), words, num, den, partitions), "links")
         links = found if links is None else materialise(links.unionByName(found), "links")
         labels = merged()
-        heads = labels.where("node = root").groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        heads = labels.where("node = root").groupBy("comp").agg(_parts(F.sum("n"), F.count(F.lit(1)), group).alias("parts"), F.count(F.lit(1)).alias("left")).where("left > 1").drop("left")
         if heads.isEmpty():
             return links
-        active = rows.drop("size").join(labels.where("node = root").select(F.col("node").alias("rep"), "root"), "rep").join(heads, "comp")
+        active = rows.drop("parts").join(labels.where("node = root").select(F.col("node").alias("rep"), "root"), "rep").join(heads, "comp")
     # Completion: sets outside a candidate's largest cluster meet everything, block against block.
-    sizes = labels.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("comp").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("total"))
-    largest = largest.select("comp", F.col("m.root").alias("main"), F.ceil(F.col("m.n") / group).alias("main_parts"), F.ceil((F.col("total") - F.col("m.n")) / group).alias("parts")).where("parts > 0")
-    full = rows.drop("size").join(labels.select(F.col("node").alias("rep"), "root"), "rep").join(largest, "comp")
+    clusters = labels.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("weight"))
+    largest = clusters.groupBy("comp").agg(F.max(F.struct("count", "weight", "root")).alias("m"), F.sum("count").alias("count"), F.sum("weight").alias("weight")).where(F.col("count") > F.col("m.count"))
+    largest = largest.select("comp", F.col("m.root").alias("main"), _parts(F.col("m.weight"), F.col("m.count"), group).alias("main_parts"), _parts(F.col("weight") - F.col("m.weight"), F.col("count") - F.col("m.count"), group).alias("parts"))
+    full = rows.drop("parts").join(labels.select(F.col("node").alias("rep"), "root"), "rep").join(largest, "comp")
     within = F.col("root") == F.col("main")
     block = F.pmod(F.xxhash64("rep"), F.when(within, F.col("main_parts")).otherwise(F.col("parts")))
     full = full.withColumn("block", block)
@@ -386,43 +553,77 @@ def _large(rows: DataFrame, words: int, num: int, den: int, group: int, partitio
     return links.unionByName(found)
 
 
-def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
-    chunks = build(with_ids(docs, id_col, text_col), partitions, chunk_bytes, _describe(words), ", ns binary, sigs binary")
+def _vertices(whole: DataFrame) -> DataFrame:
+    """(sig, size, n, first_id, rep, chunk, place): equal sets once. rep is the smallest doc_id; of different sets with one
+    smallest doc_id all but one have a hash instead."""
+    heads = whole.groupBy("sig").agg(F.min(F.struct("doc_id", "chunk", "place")).alias("head"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"))
+    heads = materialise(heads.select("sig", "size", "n", F.col("head.doc_id").alias("first_id"), F.col("head.chunk").alias("chunk"), F.col("head.place").alias("place")), "heads")
+    twice = materialise(heads.groupBy("first_id").agg(F.count(F.lit(1)).alias("count"), F.min("sig").alias("own")).where("count > 1").drop("count"), "repeated-ids")
+    if twice.isEmpty():
+        return heads.withColumn("rep", F.col("first_id"))
+    other = F.xxhash64("sig", "first_id").bitwiseOR(1 << 62).bitwiseAND((1 << 63) - 1)
+    rep = F.when(F.col("own").isNull() | (F.col("own") == F.col("sig")), F.col("first_id")).otherwise(other)
+    return materialise(heads.join(twice, "first_id", "left").withColumn("rep", rep).drop("own"), "heads")
+
+
+def clusters(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, component (names its cluster alone; null for an empty set) and tkey (md5 of the text) of every row."""
+    rows = with_ids(docs, id_col, text_col)
+    sizes = plan(rows)
+    partitions, buckets = sizes.partitions, sizes.buckets
+    chunks = build(rows, partitions, chunk_bytes or sizes.chunk_bytes, _describe(words), ", ns binary, sigs binary, tkeys binary")
     sets = materialise(_sets(chunks), "sets")
     whole = sets.where("n > 0")
-    heads = whole.groupBy("sig").agg(F.min(F.struct("doc_id", "chunk", "place")).alias("head"), F.count(F.lit(1)).alias("size"))
-    heads = materialise(heads.select("sig", "size", F.col("head.doc_id").alias("rep"), F.col("head.chunk").alias("chunk"), F.col("head.place").alias("place")), "heads")
+    heads = _vertices(whole)
     # One row of places per chunk: as many numbers as the chunk has documents.
-    places = heads.groupBy("chunk").agg(F.collect_list("place").alias("places"))
+    places = heads.groupBy("chunk").agg(F.collect_list(F.struct("place", "rep")).alias("places"))
     joined = chunks.join(places.hint("merge"), "chunk").select("chunk", "ids", "lengths", "text", "places")
     ranks = _rarity(_send_shingles(joined, buckets, words), partitions)
     ranks = materialise(ranks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ranks")).alias("ranks")), "ranks")
     ranked = joined.join(ranks.hint("merge"), "chunk").select("chunk", "ids", "lengths", "text", "places", "ranks")
-    coarse = materialise(components(_chains(_send_prefixes(ranked, buckets, words, num, den), partitions, num, den)), "coarse")
-    counted = materialise(coarse.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "coarse-sizes")
-    wanted = coarse.join(counted, "component").select(F.col("node").alias("rep"), F.col("component").alias("comp"), "size")
-    wanted = heads.drop("size").join(wanted, "rep").groupBy("chunk").agg(F.collect_list(F.struct("place", "comp", "size")).alias("wanted"))
+    coarse = materialise(components(_candidates(_send_prefixes(ranked, buckets, words, num, den), partitions, num, den)), "coarse")
+    coarse = materialise(coarse.join(heads.select(F.col("rep").alias("node"), "n", "chunk", "place"), "node"), "coarse-vertices")
+    counted = materialise(coarse.groupBy("component").agg(_parts(F.sum("n"), F.count(F.lit(1)), group).alias("parts")), "coarse-sizes")
+    wanted = coarse.join(counted, "component").groupBy("chunk").agg(F.collect_list(F.struct("place", F.col("component").alias("comp"), "parts", F.col("node").alias("rep"))).alias("wanted"))
     texts = materialise(_texts(chunks.join(wanted.hint("merge"), "chunk").select("ids", "lengths", "text", "wanted")), "candidates")
-    small = texts.where(F.col("size") <= group).select(F.col("comp").cast("string").alias("grp"), "rep", F.monotonically_increasing_id().alias("root"), "text")
+    small = texts.where("parts = 1").select(F.col("comp").cast("string").alias("grp"), "rep", F.monotonically_increasing_id().alias("root"), "text")
     links = materialise(_verify(small, words, num, den, partitions), "links")
-    if not counted.where(F.col("size") > group).isEmpty():
-        links = links.unionByName(_large(texts.where(F.col("size") > group), words, num, den, group, partitions))
-    labels = components(links)
-    named = heads.select("sig", "rep", "size").join(labels, F.col("rep") == F.col("node"), "left").select("sig", "size", F.coalesce("component", "rep").alias("component_id"))
-    named = materialise(named, "named")
-    rows = join_groups(whole.select("doc_id", "n", "sig"), named, "sig", "size", sets.count()).select("doc_id", "n", "component_id")
-    rows = rows.unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    if not counted.where("parts > 1").isEmpty():
+        links = links.unionByName(_large(texts.where("parts > 1"), coarse.select(F.col("node").alias("rep"), "n"), words, num, den, group, partitions))
+    labels = materialise(components(links), "components")
+    linked = heads.select("sig", "rep", "size", "first_id").join(labels, F.col("rep") == F.col("node"), "left").select("sig", "size", "first_id", F.coalesce("component", "rep").alias("component"))
+    linked = materialise(linked, "linked")
+    # A component has as many rows here as it has different sets; they are counted before they move.
+    named = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = materialise(named, "names")
+    total = linked.count()
+    named = materialise(join_groups(linked, named, "component", "members", total).select("sig", "size", "component", "component_id"), "named")
+    out = join_groups(whole.select("doc_id", "n", "sig", "tkey"), named, "sig", "size", sets.count()).select("doc_id", "n", "component_id", "component", "tkey")
+    out = out.unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"), "tkey"))
     real = lambda c: F.when(F.col(c) != NONE, F.col(c)).alias(c)
-    return rows.select(real("doc_id"), F.col("n").alias("n_shingles"), real("component_id"))
+    return out.select(real("doc_id"), F.col("n").alias("n_shingles"), real("component_id"), "component", "tkey")
+
+
+def similar(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; options as of clusters()."""
+    return clusters(docs, **options).drop("component", "tkey")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns."""
-    kept = materialise(similar(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """One document of each component, with all its columns: the one with the smallest doc_id, of several texts of that id
+    the one with the least md5, of equal rows one. Documents without words all stay."""
+    found = materialise(clusters(docs).where("doc_id <=> component_id").select("doc_id", "component", "tkey"), "first-documents")
+    heads = found.where("component is not null").groupBy("component").agg(F.min("tkey").alias("k_text"), F.first("doc_id").alias("k_id")).select("k_id", "k_text")
+    kept = materialise(heads, "kept")
+    blank = materialise(found.where("component is null").select(F.col("doc_id").alias("k_id"), F.col("tkey").alias("k_text")).distinct(), "kept-blank")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("tkey"))
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("tkey") == F.col("k_text"))
+    first = rows.join(kept.hint("merge"), same, "left_semi")
+    copies = found.where("component is not null").groupBy(F.col("doc_id").alias("k_id"), F.col("tkey").alias("k_text")).count().where("count > 1").drop("count")
+    out = one_row_each(first, materialise(copies, "repeated-rows"), same, ["id", "tkey"], docs.schema)
+    if not blank.isEmpty():
+        out = out.unionByName(rows.join(blank.hint("merge"), same, "left_semi"))
+    return out.select("row.*")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
