@@ -5,11 +5,14 @@ the squared change of the score when an identity term of a labelled document is
 into a sentence that names none: what only mentions a group must not move the score. Scoring adds up the weights of a
 document's distinct words and is a map over the whole table.
 
-The classifier is fitted on at most SAMPLE labelled documents of each class (the first by a hash of doc_id), so the
-driver's share is bounded; every document is scored over its whole text.
+The classifier is fitted on at most SAMPLE labelled documents of each class (the first by a hash of doc_id). Their texts
+stay with the tasks: the driver gets the names of the chosen features and which of them each document has. Every
+document is scored over its whole text.
 
 Defined results: null and empty texts score what the intercept says; null ids score like others; repeated rows get
-equal scores; without labelled rows of both classes every score is 0; extra columns are ignored.
+equal scores; an id with several labels is toxic if one says so, and of an id's texts the least in code point order is
+learned from; texts of any length count whole, words beyond LONG_WORD letters by a digest; without labelled rows of both
+classes every score is 0; an empty table gives no rows; extra columns are ignored (keep_clean returns them).
 """
 
 from __future__ import annotations
@@ -17,23 +20,28 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import table
+from pairloom.llm.common import materialise, table
 
 SAMPLE = 4000
 FEATURES = 6000
 #: Least squared z of the difference between the classes' rates for a feature to be used.
 GAIN = 14.0
 PREFIXES = (4, 5, 6)
-#: Hash groups of the first count of features.
-GROUPS = 1 << 21
+#: Documents of the sample that must have a feature.
+LEAST_COUNT = 3
+#: Letters of a word from which on a digest names it.
+LONG_WORD = 64
 PENALTY = 1.0
+ROUNDS = 300
+#: The score's argument without labelled rows of both classes.
+NO_LABELS = -40.0
 RIDGE = 2e-4
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -47,9 +55,12 @@ IDENTITY = (
     ("immigrant", "immigrants", "refugee", "refugees", "native", "foreigner", "foreigners", "migrants", "réfugiés", "ausländer", "flüchtlinge", "inmigrantes"),
     ("deaf", "blind", "disabled", "autistic", "elderly", "young", "old"),
 )
+TERMS: set[str] = set()
 
 
 def word_features(word: str) -> list[str]:
+    if len(word) > LONG_WORD:  # named by a digest, so that no name is large
+        word = word[:LONG_WORD] + md5(word.encode()).hexdigest()
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
@@ -57,6 +68,13 @@ def words(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def features(text: str | None) -> set[str]:
+    return {f for w in words(text) for f in word_features(w)}
+
+
+TERMS.update(f for kind in IDENTITY for t in kind for f in word_features(t))
+
+
 class Model:
     def __init__(self, weights: dict[str, float], intercept: float):
         self.weights, self.intercept = weights, intercept
@@ -83,74 +101,88 @@ class Model:
         return score
 
 
-def fit(texts: list[str], labels: list[int], penalty: float = PENALTY, rounds: int = 300) -> Model:
-    """Full-batch Adam on logistic loss, ridge and the counterfactual penalty."""
-    y = np.array(labels, np.float64)
-    if not 0 < y.sum() < len(y):
-        return Model({}, -40.0)
-    n, n1 = len(y), y.sum()
+def gains(c, c1, n: int, n1: int):
+    """Squared z of how much a feature's rate among toxic documents differs from what its count lets expect; of numbers,
+    arrays or columns of counts."""
     rate = n1 / n
+    return (c1 - c * rate) ** 2 / (c * (rate * (1 - rate)) * (1 - c / (n + 1)) + 1e-9)
 
-    def gains(c: np.ndarray, c1: np.ndarray) -> np.ndarray:
-        """Squared z of how much a feature's rate among toxic documents differs from what its count lets expect."""
-        return np.where(c >= 3, (c1 - c * rate) ** 2 / (c * rate * (1 - rate) * (1 - c / (n + 1)) + 1e-9), 0.0)
-
-    # Counted by hash first: names are kept only of features in hash groups that may matter.
-    groups = [np.unique(np.array([crc32(f.encode()) % GROUPS for w in words(t) for f in word_features(w)], np.int32)) for t in texts]
-    c = np.bincount(np.concatenate(groups), minlength=GROUPS)
-    c1 = np.bincount(np.concatenate([g for g, label in zip(groups, labels, strict=True) if label]), minlength=GROUPS)
-    use = gains(c, c1) >= GAIN
-    kinds = [sorted(kind) for kind in IDENTITY]
-    terms = {f for kind in kinds for t in kind for f in word_features(t)}
-    use[[crc32(t.encode()) % GROUPS for t in terms]] = True
-    del groups
-    sets = [{f for w in words(t) for f in word_features(w) if use[crc32(f.encode()) % GROUPS]} for t in texts]
+
+def chosen(counts: dict[str, tuple[int, int]], n: int, n1: int) -> list[str]:
+    """The features whose rate differs most between the classes (ties by name), and every identity term that occurs."""
+    gain = {f: gains(c, c1, n, n1) for f, (c, c1) in counts.items() if c >= LEAST_COUNT}
+    best = sorted((f for f in gain if gain[f] >= GAIN), key=lambda f: (-gain[f], f))[:FEATURES]
+    return sorted({*best, *(TERMS & counts.keys())})
+
+
+def fit(texts: list[str], labels: list[int], penalty: float = PENALTY, rounds: int = ROUNDS) -> Model:
+    """Fit on texts in memory."""
+    n, n1 = len(labels), sum(labels)
+    if not 0 < n1 < n:
+        return Model({}, NO_LABELS)
+    sets = [features(t) for t in texts]
     seen, bad = Counter(), Counter()
-    for s, label in zip(sets, labels, strict=True):
-        seen.update(s)
+    for found, label in zip(sets, labels, strict=True):
+        seen.update(found)
         if label:
-            bad.update(s)
-    # The features whose rate differs most between the classes; ties by name.
-    listed = sorted(seen)
-    gain = dict(zip(listed, gains(np.array([seen[f] for f in listed]), np.array([bad[f] for f in listed])).tolist(), strict=True))
-    names = sorted((f for f in listed if gain[f] >= GAIN), key=lambda f: (-gain[f], f))[:FEATURES]
-    names = sorted(set(names) | (terms & set(listed)))
+            bad.update(found)
+    names = chosen({f: (c, bad[f]) for f, c in seen.items()}, n, n1)
+    index = {f: i for i, f in enumerate(names)}
+    return solve(names, [np.array(sorted(index[f] for f in found if f in index), np.int64) for found in sets], labels, penalty, rounds)
+
+
+def swaps(names: list[str], found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What one identity term in place of another changes, for every document and pair of terms of a kind: arrays swap,
+    feature and sign, and the number of times of each swap. A document that names none of a kind gets each of its terms."""
     index = {f: i for i, f in enumerate(names)}
-    found = [sorted(index[f] for f in s if f in index) for s in sets]
-    rows = np.repeat(np.arange(n), [len(r) for r in found])
-    cols = np.array([i for r in found for i in r], np.int64)
-    # Swaps: what enters and what leaves the feature set when one term stands for another.
-    swaps: Counter = Counter()
-    for s in sets:
+    parts = {t: tuple(index[f] for f in word_features(t) if f in index) for kind in IDENTITY for t in kind}
+    kinds = [[(t, index.get(t, -1)) for t in sorted(kind)] for kind in IDENTITY]
+    all_terms = np.array(sorted({i for kind in kinds for _, i in kind if i >= 0}), np.int64)
+    count: Counter = Counter()
+    for s in found:
+        mine = set(s[np.isin(s, all_terms)].tolist())
+        count[frozenset(mine)] += 1
+    out: Counter = Counter()
+    for mine, times in count.items():
         for kind in kinds:
-            here = [t for t in kind if t in s]
-            for old in here or [""]:
-                for new in kind:
-                    if new != old:
-                        leaves = tuple(index[f] for f in (word_features(old) if old else []) if f in index)
-                        enters = tuple(index[f] for f in word_features(new) if f in index)
-                        if leaves != enters:
-                            swaps[leaves, enters] += 1
-    pairs = [(np.array(a, np.int64), np.array(b, np.int64), c / n) for (a, b), c in swaps.items()]
-    w, b = np.zeros(len(names)), float(np.log(rate / (1 - rate)))
-    theta = np.append(w, b)
+            for old in [t for t, i in kind if i in mine] or [""]:
+                for new, _ in kind:
+                    leaves, enters = parts.get(old, ()), parts[new]
+                    if new != old and leaves != enters:
+                        out[leaves, enters] += times
+    rows = [(k, f, sign) for k, pair in enumerate(out) for side, sign in zip(pair, (-1.0, 1.0), strict=True) for f in side]
+    swap, feature, sign = zip(*rows, strict=True) if rows else ((), (), ())
+    return np.array(swap, np.int64), np.array(feature, np.int64), np.array(sign), np.array(list(out.values()), np.float64)
+
+
+def objective(theta: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray, moved: tuple, penalty: float) -> tuple[float, np.ndarray]:
+    """The loss and its gradient at weights and intercept: balanced logistic loss, ridge and the counterfactual penalty."""
+    n, w = len(y), theta[:-1]
+    rate = y.sum() / n
+    weight = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate)) / n
+    z = np.clip(np.bincount(rows, w[cols], n) + theta[-1], -40, 40)
+    p = 1 / (1 + np.exp(-z))
+    g = weight * (p - y)
+    swap, feature, sign, times = moved
+    delta = np.bincount(swap, sign * w[feature], len(times))
+    loss = -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() + 0.5 * RIDGE * (w**2).sum() + 0.5 * penalty / n * (times * delta**2).sum()
+    gw = np.bincount(cols, g[rows], len(w)) + RIDGE * w + np.bincount(feature, sign * (penalty / n * times * delta)[swap], len(w))
+    return float(loss), np.append(gw, g.sum())
+
+
+def solve(names: list[str], found: list[np.ndarray], labels: list[int], penalty: float = PENALTY, rounds: int = ROUNDS) -> Model:
+    """Full-batch Adam on the objective; ``found`` has each document's features as places in ``names``."""
+    y = np.array(labels, np.float64)
+    rows, cols = np.repeat(np.arange(len(y)), [len(x) for x in found]), np.concatenate([np.zeros(0, np.int64), *found])
+    moved, rate = swaps(names, found), y.mean()
+    theta = np.append(np.zeros(len(names)), np.log(rate / (1 - rate)))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    weight = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate))
     for step in range(1, rounds + 1):
-        w, b = theta[:-1], theta[-1]
-        z = np.bincount(rows, w[cols], n) + b
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        gw = np.bincount(cols, g[rows], len(w)) + RIDGE * w
-        for leaves, enters, share in pairs:
-            delta = penalty * share * (w[enters].sum() - w[leaves].sum())
-            np.add.at(gw, enters, delta)
-            np.add.at(gw, leaves, -delta)
-        g_all = np.append(gw, g.sum())
-        first = 0.9 * first + 0.1 * g_all
-        second = 0.999 * second + 0.001 * g_all**2
+        g = objective(theta, y, rows, cols, moved, penalty)[1]
+        first = 0.9 * first + 0.1 * g
+        second = 0.999 * second + 0.001 * g**2
         theta = theta - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    w, b = theta[:-1], theta[-1]
-    return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(b))
+    return Model({f: float(x) for f, x in zip(names, theta[:-1], strict=True) if abs(x) > 1e-3}, float(theta[-1]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -158,15 +190,61 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents of each class that are not held out."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, toxic, text) of at most ``sample`` labelled documents of each class that are not held out, a table in the
+    shared folder. An id with several labels is toxic if one says so; of an id's texts the least one stands for it."""
     order = F.md5(F.col("doc_id").cast("string"))
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.where("toxic = 1").orderBy(order).limit(sample).unionByName(known.where("toxic = 0").orderBy(order).limit(sample))
     # At most two samples of ids: a bounded broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow().to_pylist()
-    rows = sorted({x["doc_id"]: x for x in rows}.values(), key=lambda x: x["doc_id"])
-    return fit([x["text"] for x in rows], [x["toxic"] for x in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return materialise(rows, "sample")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fit on at most ``sample`` labelled documents of each class. Features are counted and looked up by tasks: the driver
+    gets at most FEATURES names and, for each document of the sample, the places of its features among them."""
+    rows = sampled(docs, labels, sample)
+    n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < n1 < n:
+        return Model({}, NO_LABELS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, bad = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([bad[f] for f in seen], pa.int64())], names=["feature", "c", "c1"])
+            seen.clear()
+            bad.clear()
+            return got
+
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = features(text.as_py())
+                seen.update(found)
+                if label:
+                    bad.update(found)
+                if len(seen) > 300_000:
+                    yield out()
+        yield out()
+
+    counts = rows.select("toxic", "text").mapInArrow(count, "feature string, c long, c1 long").groupBy("feature").agg(F.sum("c").alias("c"), F.sum("c1").alias("c1"))
+    counts = materialise(counts, "feature-counts")
+    telling = counts.where(F.col("c") >= LEAST_COUNT).withColumn("gain", gains(F.col("c"), F.col("c1"), n, n1)).where(F.col("gain") >= GAIN)
+    best = telling.orderBy(F.desc("gain"), "feature").limit(FEATURES).drop("gain").unionByName(counts.where(F.col("feature").isin(sorted(TERMS)))).collect()
+    names = chosen({r["feature"]: (r["c"], r["c1"]) for r in best}, n, n1)
+    sent = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})  # FEATURES and the terms at most
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for batch in batches:
+            places = [np.array(sorted(index[f] for f in features(x.as_py()) if f in index), "<u2").tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary())], names=["doc_id", "toxic", "places"])
+
+    # Two bytes a feature: at most two samples of FEATURES and the terms, 100 MB if every document had them all.
+    got = rows.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as long) toxic", "text").mapInArrow(look_up, "doc_id long, toxic long, places binary").toArrow().to_pylist()
+    got.sort(key=lambda x: x["doc_id"])
+    return solve(names, [np.frombuffer(x["places"], "<u2").astype(np.int64) for x in got], [x["toxic"] for x in got])
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
