@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import scratch_path
+from pairloom.llm.common import scratch_path, scratch_table
 
 #: Bytes of text of a chunk, the least and the most; of one bucket's share; and of one packed row's share.
 CHUNK_BYTES, MOST_CHUNK_BYTES, BUCKET_BYTES, ROW_BYTES = 1 << 20, 8 << 20, 16 << 20, 2048
@@ -160,7 +160,7 @@ def build(docs: DataFrame, buckets: int, chunk_bytes: int = CHUNK_BYTES, describ
             yield out()
 
     path = scratch_path(docs.sparkSession, "chunks")
-    name = "chunks_" + path[-12:]
+    name = scratch_table(docs.sparkSession, "chunks_" + path[-12:])
     rows = docs.mapInArrow(task, schema).repartition(buckets, "chunk")
     rows.write.format("parquet").option("compression", "uncompressed").option("path", path).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
     return docs.sparkSession.table(name)

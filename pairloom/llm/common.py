@@ -28,23 +28,53 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths and catalog tables that each application has made here, in order.
+_MADE: dict[str, list[tuple[str, str]]] = {}
+
+
+def _made(spark: SparkSession) -> list[tuple[str, str]]:
+    return _MADE.setdefault(spark.sparkContext.applicationId, [])
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    _made(spark).append(("path", path))
+    return path
 
 
-def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost only their own tasks."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A name of a catalog table over a scratch path, to be dropped with it."""
+    _made(spark).append(("table", name))
+    return name
+
+
+def store(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
+    """Write df to path and read it back: lineage ends there, and lost executors cost only their own tasks."""
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; call it once the results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+    """store() under a scratch path in the shared folder."""
+    return store(df, scratch_path(df.sparkSession, tag), codec)
+
+
+def mark(spark: SparkSession) -> int:
+    """Stands for what has been made so far; see release()."""
+    return len(_made(spark))
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the scratch tables made after ``since`` but for the paths in ``keep``; call it once what reads them is written."""
+    made = _made(spark)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for kind, name in made[since:]:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        elif name not in keep:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+    made[since:] = [x for x in made[since:] if x[1] in keep]
 
 
 def join_groups(members: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import join_groups, materialise, one_row_each, scratch_path, table
+from pairloom.llm.common import join_groups, materialise, one_row_each, scratch_path, scratch_table, table
 
 #: Batches into which op1 deals its table: each meets an index that holds what the earlier ones appended.
 BATCHES = 3
@@ -123,7 +123,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "
 def new_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
     """An empty index in the shared folder, with as many buckets as the session has shuffle partitions."""
     path = scratch_path(spark, "digest-index")
-    return DigestIndex(spark, path, "digest_index_" + path[-12:], buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index = DigestIndex(spark, path, "digest_index_" + path[-12:], buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for generation in range(2):
+        scratch_table(spark, f"{index.base}_g{generation}")
+    return index
 
 
 def deduplicate_all(docs: DataFrame, index: DigestIndex, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

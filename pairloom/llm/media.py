@@ -119,6 +119,10 @@ def write_archives(rows: DataFrame, path: str, id_col: str, payload_col: str, ar
     found.write.parquet(f"{path}/_archives")
 
 
+#: Ranges that the driver plans at most, but for one of each archive; beyond it ranges grow. A task streams its range.
+MOST_RANGES = 100_000
+
+
 class Range(InputPartition):
     def __init__(self, name: str, low: int, high: int):
         self.name, self.low, self.high = name, low, high
@@ -135,7 +139,8 @@ class ArchiveReader(DataSourceReader):
 
         fs, root = _fs(self.path)
         found = ds.dataset(f"{root}/_archives", filesystem=fs, format="parquet").to_table(columns=["name", "bytes"]).to_pylist()
-        return [Range(x["name"], low, min(low + self.split, x["bytes"])) for x in sorted(found, key=lambda x: x["name"]) for low in range(0, x["bytes"], self.split)]
+        split = max(self.split, -(-sum(x["bytes"] for x in found) // MOST_RANGES))
+        return [Range(x["name"], low, min(low + split, x["bytes"])) for x in sorted(found, key=lambda x: x["name"]) for low in range(0, x["bytes"], split)]
 
     def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
         if part is None or isinstance(part, InputPartition) and not hasattr(part, "name"):
