@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared folder and
-reads again as the next stage's input. All but the last return the columns of ``documents``.
+reads again as the next stage's input. All but the last return the columns of ``documents``, extra ones included. Nulls,
+empty and long texts, repeated rows and empty tables have the results that the operators' docstrings define.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import exact_dedup, jaccard, mixing, packing, toxicity
-from pairloom.llm.common import materialise, table
+from pairloom.llm.common import mark, release, scratch_path, store, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage made on its way, and the table it read, go once its own table is written."""
+    docs, begun = table(spark, sf_dir, "documents"), mark(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        path = scratch_path(spark, "stage-" + name.replace(" ", "-"))
+        docs = store(stage(spark, docs, sf_dir), path)
+        release(spark, begun, (path,))
     return STAGES[-1][1](spark, docs, sf_dir)
