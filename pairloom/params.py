@@ -45,3 +45,5 @@ class Params:
     trading_days: int = 252
     initial_equity: float = 1.0
     eligibility_asof: str = "execution"
+    #: Borrow on a leg without a close: "free", or "spoil", which makes the cash account NaN from then on.
+    unpriced_borrow: str = "free"
