@@ -631,4 +631,19 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_jaccard": op10_jaccard}
-ORACLE: dict[str, str] = {}
+#: All pairs of texts with a shingle in common, and what is reachable from each text.
+ORACLE = {
+    "op10_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT k, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS x FROM d),
+        n AS MATERIALIZED (SELECT k, count(*) AS n FROM s GROUP BY k),
+        i AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.k < b.k GROUP BY 1, 2),
+        e AS MATERIALIZED (SELECT a, b FROM i JOIN n p ON p.k = a JOIN n q ON q.k = b WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+        z AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(k, other) AS (SELECT k, k FROM d UNION SELECT r.k, z.b FROM r JOIN z ON r.other = z.a),
+        c AS (SELECT r.k, min(o.doc_id) AS least, count(*) FILTER (o.doc_id IS NULL) AS unnamed FROM r JOIN d o ON r.other = o.k GROUP BY r.k)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN unnamed = 0 THEN least END AS component_id FROM d JOIN c ON d.k = c.k LEFT JOIN n ON d.k = n.k
+    """
+}

@@ -521,4 +521,21 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_suffix_dedup": op9_suffix_dedup}
-ORACLE: dict[str, str] = {}
+#: Every WIDTH-byte string of every text, in hexadecimal; long texts are cut into overlapping parts first, as substr counts from the front.
+ORACLE = {
+    "op9_suffix_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(doc_id, -9223372036854775808) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT k, id, low, substr(h, 2 * low + 1, 610) AS part, least(256, len(h) // 2 - 49 - low) AS m FROM (SELECT k, id, h, unnest(range(0, greatest(0, len(h) // 2 - 49), 256)) AS low FROM d)),
+        s AS (SELECT k, id, low + j AS i, substr(part, 2 * j + 1, 100) AS x FROM (SELECT k, id, low, part, unnest(range(0, m)) AS j FROM p)),
+        m AS (SELECT x, min(id) AS least FROM s GROUP BY x),
+        w AS (SELECT k, i, id > least AS lost FROM s JOIN m USING (x)),
+        n AS (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS next, lag(i) OVER (PARTITION BY k ORDER BY i) AS prior FROM w WHERE lost),
+        c AS (SELECT k, sum(least(50, coalesce(next, i + 50) - i))::BIGINT AS n_removed, sum((prior IS NULL OR prior + 50 < i)::INT)::BIGINT AS n_spans FROM n GROUP BY k),
+        b AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY i) AS r FROM n WHERE prior IS NULL OR prior + 50 < i),
+        e AS (SELECT k, i + 50 AS stop, row_number() OVER (PARTITION BY k ORDER BY i) AS r FROM n WHERE next IS NULL OR next > i + 50),
+        g AS (SELECT b.k, b.r, b.i AS low, coalesce(lag(e.stop) OVER (PARTITION BY b.k ORDER BY b.r), 0) AS since, e.stop AS upto FROM b JOIN e ON b.k = e.k AND b.r = e.r),
+        t AS (SELECT g.k, string_agg(substr(h, 2 * since + 1, 2 * (low - since)), '' ORDER BY r) || substr(any_value(h), 2 * max(upto) + 1) AS rest FROM g JOIN d ON g.k = d.k GROUP BY g.k)
+        SELECT nullif(id, -9223372036854775808) AS doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+        FROM d LEFT JOIN c ON d.k = c.k LEFT JOIN t ON d.k = t.k
+    """
+}
