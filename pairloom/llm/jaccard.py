@@ -20,16 +20,18 @@
 Defined results: a null or blank text has an empty set and is linked with nothing; a null id sorts below all others;
 rows that repeat an id are documents of their own, and a component's name is the smallest id in it; texts of any length
 are read whole; an empty table gives no rows; extra columns are ignored, whatever their names (keep_one() returns them).
-Shingles are named by 64 bits of a hash of their words, words by a cryptographic one.
+Shingles are named by 64 bits of a hash of their words' hashes, long words by a cryptographic one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b, md5
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,41 +46,40 @@ DIMENSIONS = 32
 LEAF = 16
 #: Counts below it are written as they are.
 STEPS = 192
-GROUP, GROUP_SHINGLES = 1000, 1 << 22
-#: Words whose hashes a task remembers.
-REMEMBERED = 1 << 20
+GROUP, GROUP_SHINGLES = 4000, 1 << 22
+#: Bytes of a word up to which a fast hash names it, and that hash's seed.
+SHORT_WORD, SEED = 32, 0x9E3779B97F4A7C15
 #: A-Z to a-z and the six white-space bytes to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 LOW4 = (1 << 32) - 1
 
 
-class Names(dict):
-    """64 bits of a cryptographic hash of each word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return found
+def word_name(word: bytes) -> int:
+    """64 bits for a word; for long ones, of which many can be made that a fast hash confuses, a cryptographic hash's."""
+    if len(word) <= SHORT_WORD:
+        return xxhash.xxh3_64_intdigest(word, SEED)
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
 
 
 class Shingler:
     """Sorted distinct 64-bit hashes of the runs of ``words`` words of a text."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.names = words, Names()
+        self.words = words
+        self.factors = mix64(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(SEED)) | np.uint64(1)
 
     def __call__(self, text: bytes) -> np.ndarray:
         parts = text.translate(FOLD).split()
         if not parts:
             return np.zeros(0, np.uint64)
-        names = np.fromiter(map(self.names.__getitem__, parts), np.uint64, len(parts))
+        names = np.fromiter(map(word_name, parts) if max(map(len, parts)) > SHORT_WORD else map(xxhash.xxh3_64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))
         k = min(self.words, len(parts))
         n = len(parts) - k + 1
         out = np.full(n, k, np.uint64)
         for i in range(k):
-            out = mix64(out + names[i : i + n])
-        return np.unique(out)
+            out += names[i : i + n] * self.factors[i]
+        out = np.sort(mix64(out))
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 class Clusters:
