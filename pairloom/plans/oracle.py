@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pairloom.plans import oracle_backtest
 from pairloom.sources.fixture import CTES as FIXTURE
 
 NUDGE = "3.7e-10"
@@ -166,21 +167,27 @@ CTES = FIXTURE | {
 }
 
 
-def sql(select: str) -> str:
-    """The CTEs that the statement needs, in order, and the statement."""
+CTES |= oracle_backtest.CTES
+
+
+def sql(select: str, **other: str) -> str:
+    """The CTEs that the statement needs, in order, and the statement; ``other`` has CTEs in place of those of their names."""
     import re
 
     needed: set[str] = set()
+    ctes = CTES | other
 
     def visit(text: str) -> None:
-        for name in CTES:
+        for name in ctes:
             if name not in needed and re.search(rf"\b{name}\b", text):
                 needed.add(name)
-                visit(CTES[name])
+                visit(ctes[name])
 
     visit(select)
-    parts = ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in needed)
-    return f"WITH {parts}\n{select}" if parts else select
+    how = {n: "AS MATERIALIZED" for n in oracle_backtest.MATERIALIZED}
+    parts = ",\n".join(f"{n} {how.get(n, 'AS')} ({ctes[n]})" for n in ctes if n in needed)
+    start = "WITH RECURSIVE" if "bt" in needed else "WITH"
+    return f"{start} {parts}\n{select}" if parts else select
 
 
 RATES = """count(*) FILTER (entry_triggered) AS entry_events, avg(entry_triggered::int) AS entry_frequency, avg(touched_abs_z_1::int) FILTER (entry_triggered) AS touched_abs_z_1_rate,
@@ -279,4 +286,5 @@ SELECTS = {
         round(-sign(entry_z_score) * (end_z_score - entry_z_score), 8) AS x FROM events_ WHERE entry_triggered) GROUP BY reason)""",
     "mackinnon_p": f"SELECT tau, {r('pvalue')} FROM (SELECT tau, {pvalue('tau')} AS pvalue FROM (SELECT i / 8.0 - 19.0 AS tau FROM range(0, 161) t(i)))",
 }
-ORACLE = {name: sql(select) for name, select in SELECTS.items()}
+SELECTS |= oracle_backtest.selects(r)
+ORACLE = {name: sql(select) for name, select in SELECTS.items()} | {"backtest_scenarios": sql(SELECTS["backtest_scenarios"], prm=oracle_backtest.GRID)}

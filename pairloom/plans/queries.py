@@ -312,13 +312,13 @@ def _table(kind: str) -> Callable[[Research], DataFrame]:
 
 
 for _name, _kind in {"backtest_trades": "trade", "backtest_orders": "order", "backtest_equity": "equity", "backtest_exposure": "exposure", "backtest_positions": "position"}.items():
-    QUERIES[_name] = lambda spark, sf_dir, f=_table(_kind): f(research(spark, sf_dir))
+    QUERIES[_name] = lambda spark, sf_dir, f=_table(_kind): rounded(f(research(spark, sf_dir)))
 
 
 def _with_result(f: Callable[[Research, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = research(spark, sf_dir)
-        return f(r, r.baseline_backtest)
+        return rounded(f(r, r.baseline_backtest))
 
     return run
 
@@ -340,7 +340,7 @@ def backtest_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = research(spark, sf_dir)
     grid = {f"entry{e}_stop{s}_hold{h}": replace(P, entry_z=e, stop_z=s, max_holding=h) for e in (1.5, 2.0, 2.5) for s in (3.0, 4.0) for h in (10, 20)}
     out = backtest.table(r.backtest(grid), "equity", keep_scenario=True)
-    return out.groupBy("scenario").agg(F.max_by("net_equity", "date").alias("final_equity"), F.max("active_pairs").alias("most_pairs"), F.max_by("cumulative_execution_cost", "date").alias("execution_cost"))
+    return rounded(out.groupBy("scenario").agg(F.max_by("net_equity", "date").alias("final_equity"), F.max("active_pairs").alias("most_pairs"), F.max_by("cumulative_execution_cost", "date").alias("execution_cost")))
 
 
 QUERIES["backtest_scenarios"] = backtest_scenarios
