@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 TAU_MAX, TAU_MIN, TAU_STAR = 0.92, -18.86, -2.62
 SMALL = (2.92, 1.5012, 0.039796)
 LARGE = (2.1945, 0.64695, -0.29198, -0.042377)
-#: Terms of the series; the terms fall from n > x * x / 2 on, so 200 are enough for every x in use.
-TERMS = 200
+#: Terms of the series, enough between the tails, and of the continued fraction beyond TAIL.
+TERMS, TAIL, TAIL_TERMS = 60, 3.0, 60
 
 
 def normal_cdf(x: Column) -> Column:
-    """1/2 + phi(x) * sum of x^(2n+1) / (1 * 3 * .. * (2n+1)): built-in functions only."""
-    first = F.struct(x.alias("term"), x.alias("total"))
+    """Built-in functions only. Between the tails 1/2 + phi(x) * sum of x^(2n+1) / (1 * 3 * .. * (2n+1)); in them the
+    continued fraction phi(x) / (|x| + 1/(|x| + 2/(|x| + ..))), which keeps its relative accuracy however small it gets."""
+    phi = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
     def step(a: Column, n: Column) -> Column:
         term = a["term"] * x * x / (2 * n + 1)
         return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
 
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, step)["total"]
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * total))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), F.struct(x.alias("term"), x.alias("total")), step)["total"]
+    size = F.abs(x)
+    tail = phi / F.aggregate(F.sequence(F.lit(TAIL_TERMS), F.lit(1), F.lit(-1)), size, lambda a, n: size + n / a)
+    return F.when(x < -TAIL, tail).when(x > TAIL, 1 - tail).otherwise(0.5 + phi * series)
 
 
 def _poly(t: Column, coefficients: tuple[float, ...]) -> Column:

@@ -108,6 +108,21 @@ def histogram(rows: DataFrame, value: str, bins: int = 24) -> DataFrame:
     return out.select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
+def equity_figure(equity: DataFrame) -> DataFrame:
+    """date, net_equity and drawdown: the lines of the equity and drawdown figures."""
+    return drawdown(equity).select("date", "net_equity", "drawdown")
+
+
+def attribution(trades: DataFrame, *keys: str) -> DataFrame:
+    """Per group: gross result, costs and what is left; the bars of the attribution figures."""
+    return trades.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("gross_pnl", "execution_cost", "borrow_cost", "net_pnl")])
+
+
+def scatter(trades: DataFrame, x: str) -> DataFrame:
+    """pair_id, entry_date, x and net_return: the points of a scatter figure, one for each trade."""
+    return trades.select("pair_id", "entry_date", x, "net_return")
+
+
 def relative(equity: DataFrame, market: DataFrame, p: Params = Params(), keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, beta, correlation and alpha of daily returns against a market series (date, close)."""
     own = daily_returns(equity, keys=keys).select(*keys, "date", "ret")

@@ -36,19 +36,29 @@ def rule_masks(p: Params = Params()) -> dict[str, Column]:
     }
 
 
+def ordinals(calendar: DataFrame, dates: DataFrame) -> DataFrame:
+    """session, n: how many calendar sessions lie at or before each of the dates (one column, session).
+
+    One running count over the distinct dates and the calendar, a row a day of history whatever the number of securities.
+    """
+    days = calendar.select("session", F.lit(1).alias("on")).unionByName(dates.select("session").distinct().select("session", F.lit(0).alias("on")))
+    days = days.groupBy("session").agg(F.max("on").alias("on"))
+    return days.select("session", F.sum("on").over(Window.orderBy("session")).alias("n"), (F.col("on") == 1).alias("on"))
+
+
 def missing_runs(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """ticker, start, end, length of every run of calendar sessions without a bar between a security's first and last.
 
     A run is a hole between neighbouring points on the calendar's ordinals: no grid of tickers and sessions is built.
     Calendar ordinals just outside the first and the last bar bound a span whose ends lie off the calendar.
     """
-    days = calendar.select("session", F.row_number().over(Window.orderBy("session")).alias("n"))
     rows = bars.select("ticker", "session").distinct()
     spans = rows.groupBy("ticker").agg(F.min("session").alias("first"), F.max("session").alias("last"))
+    known = ordinals(calendar, rows)
+    days = known.where("on").select("session", "n")
     on = rows.join(days, "session").select("ticker", "n")
-    # The calendar is one row per session of history: thousands of rows, whatever the number of securities.
-    low = spans.join(F.broadcast(days), F.col("session") < F.col("first"), "left").groupBy("ticker").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-    high = spans.join(F.broadcast(days), F.col("session") <= F.col("last"), "left").groupBy("ticker").agg((F.coalesce(F.max("n"), F.lit(0)) + 1).alias("n"))
+    low = spans.join(known, F.col("session") == F.col("first")).select("ticker", (F.col("n") - F.col("on").cast("int")).alias("n"))
+    high = spans.join(known, F.col("session") == F.col("last")).select("ticker", (F.col("n") + 1).alias("n"))
     ahead = Window.partitionBy("ticker").orderBy("n")
     holes = on.unionByName(low).unionByName(high).withColumn("next", F.lead("n").over(ahead)).where("next > n + 1")
     start, end = days.select(F.col("n").alias("a"), F.col("session").alias("start")), days.select(F.col("n").alias("b"), F.col("session").alias("end"))
@@ -80,10 +90,12 @@ def security_quality(bars: DataFrame, calendar: DataFrame, p: Params = Params())
         F.median(F.when(F.col("recent"), F.col("close"))).alias("median_price_recent"),
         F.median(F.when(F.col("recent"), F.col("close") * F.col("volume"))).alias("median_dollar_volume_recent"),
     )
-    days = F.broadcast(calendar.select("session"))
-    present = bars.select("ticker", "session").distinct().join(days, "session").groupBy("ticker").agg(F.count(F.lit(1)).alias("present"))
+    present = bars.select("ticker", "session").distinct().join(calendar.select("session"), "session").groupBy("ticker").agg(F.count(F.lit(1)).alias("present"))
     ends = base.select("ticker", "first_date", "last_date")
-    expected = ends.join(days, F.col("session").between(F.col("first_date"), F.col("last_date"))).groupBy("ticker").agg(F.count(F.lit(1)).alias("expected_observations"))
+    known = ordinals(calendar, bars)
+    first = known.select(F.col("session").alias("first_date"), (F.col("n") - F.col("on").cast("int")).alias("before"))
+    last = known.select(F.col("session").alias("last_date"), F.col("n").alias("upto"))
+    expected = ends.join(first, "first_date").join(last, "last_date").select("ticker", (F.col("upto") - F.col("before")).cast("long").alias("expected_observations"))
     gaps = missing_runs(bars, calendar).groupBy("ticker").agg(F.max("length").alias("maximum_missing_run"))
     out = base.join(expected, "ticker", "left").join(present, "ticker", "left").join(gaps, "ticker", "left")
     out = out.withColumn("expected_observations", F.coalesce("expected_observations", F.lit(0)).cast("long"))
@@ -142,6 +154,16 @@ def zero_volume_runs(bars: DataFrame) -> DataFrame:
     ).drop("run")
 
 
+def anomaly_events(bars: DataFrame, quality: DataFrame, p: Params = Params()) -> DataFrame:
+    """ticker, session, anomaly_type, value: extreme returns and broken rules of the securities that validation flagged.
+
+    Only bars of flagged securities are looked at; those that pass take no part.
+    """
+    flagged = bars.join(quality.where("status <> 'pass'").select("ticker"), "ticker", "left_semi")
+    moves = extreme_returns(flagged, p).select("ticker", "session", F.lit("extreme_return").alias("anomaly_type"), F.col("ret").alias("value"))
+    return moves.unionByName(ohlc_violations(flagged, p).select("ticker", "session", F.col("rule").alias("anomaly_type"), F.col("difference").alias("value")))
+
+
 def download_log(bars: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """ticker, status, first_date, last_date, observations, missing_fraction (the mean of the columns' missing shares)."""
     missing = sum((F.avg(F.col(c).isNull().cast("double")) for c in (*PRICES, "volume")), F.lit(0.0)) / 5

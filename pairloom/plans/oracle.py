@@ -286,5 +286,21 @@ SELECTS = {
         round(-sign(entry_z_score) * (end_z_score - entry_z_score), 8) AS x FROM events_ WHERE entry_triggered) GROUP BY reason)""",
     "mackinnon_p": f"SELECT tau, {r('pvalue')} FROM (SELECT tau, {pvalue('tau')} AS pvalue FROM (SELECT i / 8.0 - 19.0 AS tau FROM range(0, 161) t(i)))",
 }
+SELECTS["mackinnon_p_sql"] = SELECTS["mackinnon_p"]
+SELECTS |= {
+    "bh_adjust_sql": f"SELECT selection_date, ticker_1, ticker_2, {r('fdr_pvalue')} FROM adjusted",
+    "wide_panels": f"SELECT session, ticker, {r('open', 'close', 'volume', 'median_dollar_volume')}, eligible FROM elig",
+    "anomaly_events": f"""SELECT ticker, session, anomaly_type, {r('value')} FROM (SELECT ticker, session, 'extreme_return' AS anomaly_type, ret AS value FROM moves WHERE abs(ret) > 0.05
+        UNION ALL SELECT ticker, session, 'high_below_low', low - high FROM ruled WHERE hl UNION ALL SELECT ticker, session, 'high_below_open_close', greatest(open, close) - high FROM ruled WHERE ho
+        UNION ALL SELECT ticker, session, 'low_above_open_close', low - least(open, close) FROM ruled WHERE lo) WHERE ticker IN (SELECT ticker FROM quality WHERE status <> 'pass')""",
+    "latest_log": f"""SELECT s.ticker, CASE WHEN b.ticker IS NULL THEN 'failed' ELSE 'success' END AS status, first_date, last_date, coalesce(observations, 0) AS observations, {r('missing_fraction')}
+        FROM securities s LEFT JOIN (SELECT ticker, min(session) AS first_date, max(session) AS last_date, count(*) AS observations,
+            (5 * count(*) - count(open) - count(high) - count(low) - count(close) - count(volume)) / (5 * count(*)) AS missing_fraction FROM bars WHERE ticker <> 'Brand#4' GROUP BY ticker) b USING (ticker)""",
+    "figure_equity": f"SELECT date, {r('net_equity', 'drawdown')} FROM (SELECT date, net_equity, fall AS drawdown FROM bret)",
+    "figure_attribution": f"""SELECT exit_reason, {r('gross_pnl', 'execution_cost', 'borrow_cost', 'net_pnl')} FROM (SELECT exit_reason, sum(gross_pnl) AS gross_pnl, sum(execution_cost) AS execution_cost,
+        sum(borrow_cost) AS borrow_cost, sum(net_pnl) AS net_pnl FROM btr GROUP BY 1)""",
+    "figure_entry_scatter": f"SELECT pair_id, entry_date, {r('entry_z_score', 'net_return')} FROM btr",
+    "figure_holding_scatter": f"SELECT pair_id, entry_date, holding_sessions, {r('net_return')} FROM btr",
+}
 SELECTS |= oracle_backtest.selects(r)
 ORACLE = {name: sql(select) for name, select in SELECTS.items()} | {"backtest_scenarios": sql(SELECTS["backtest_scenarios"], prm=oracle_backtest.GRID)}

@@ -8,14 +8,15 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions import sql
 from pairloom.functions.scalars import batch_number
 from pairloom.functions.stats import mackinnon_p
 from pairloom.operators import backtest, candidates, clean, cointegration, events, metrics, panel, quality
 from pairloom.params import Params
 from pairloom.plans.oracle import NUDGE, ORACLE
 from pairloom.plans.research import Research
-from pairloom.sources import fixture
-from pairloom.sources.scratch import keep
+from pairloom.sources import files, fixture
+from pairloom.sources.scratch import keep, scratch_folder
 
 #: The fixture's volumes are small and its moves smaller than those of single shares.
 P = Params(min_median_dollar_volume=30_000.0, extreme_return=0.05)
@@ -354,4 +355,49 @@ def mackinnon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["mackinnon_p"] = mackinnon
 
+
+def mackinnon_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the SQL function."""
+    sql.register(spark)
+    return rounded(spark.sql("SELECT tau, mackinnon_p(tau) AS pvalue FROM (SELECT id / 8.0D - 19.0D AS tau FROM range(0, 161))"))
+
+
+QUERIES["mackinnon_p_sql"] = mackinnon_sql
+
+
+@query
+def bh_adjust_sql(r):
+    """Adjusted p-values through the SQL function, a month's tests as one array."""
+    sql.register(r.bars.sparkSession)
+    groups = r.tested.groupBy("selection_date").agg(F.collect_list(F.struct("ticker_1", "ticker_2", "conservative_pvalue")).alias("t"))
+    groups = groups.selectExpr("selection_date", "t", "bh_adjust(t.conservative_pvalue) AS q")
+    return groups.select("selection_date", F.explode(F.arrays_zip("t", "q")).alias("x")).select("selection_date", "x.t.ticker_1", "x.t.ticker_2", F.col("x.q").alias("fdr_pvalue"))
+
+
+@query
+def wide_panels(r):
+    """The panel written as five matrices, sessions by tickers, and read back."""
+    path = scratch_folder(r.bars.sparkSession, "wide")
+    files.write_wide_panels(r.panel, path, [x.ticker for x in r.panel.select("ticker").distinct().orderBy("ticker").collect()])
+    return files.read_wide_panels(r.bars.sparkSession, path)
+
+
+@query
+def anomaly_events(r):
+    return quality.anomaly_events(r.bars, r.quality, r.p)
+
+
+@query
+def latest_log(r):
+    """Two runs of the download, the second without half of the tickers: a success stays before a later failure."""
+    odd = F.pmod(F.regexp_extract("ticker", r"(\d+)", 1).cast("int"), F.lit(2)) == 1
+    first, second = (quality.download_log(b, r.securities) for b in (r.bars.where("ticker <> 'Brand#4'"), r.bars.where(odd)))
+    return quality.latest_log(first.unionByName(second))
+
+
+QUERIES["figure_equity"] = _with_result(lambda r, b: metrics.equity_figure(backtest.table(b, "equity")))
+QUERIES["figure_attribution"] = _with_result(lambda r, b: metrics.attribution(backtest.table(b, "trade"), "exit_reason"))
+QUERIES["figure_entry_scatter"] = _with_result(lambda r, b: metrics.scatter(backtest.table(b, "trade"), "entry_z_score"))
+QUERIES["figure_holding_scatter"] = _with_result(lambda r, b: metrics.scatter(backtest.table(b, "trade"), "holding_sessions"))
+
 __all__ = ["ORACLE", "QUERIES"]

@@ -40,9 +40,31 @@ def read_security_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Partitioned by year, sorted by ticker: scans of a date range and of a ticker both skip."""
+    """Partitioned by year, sorted by ticker: scans of a date range and of a ticker both skip. Large years are several files."""
     rows = bars.withColumn("year", F.year("session"))
-    rows.repartition("year").sortWithinPartitions("ticker", "session").write.mode("overwrite").partitionBy("year").parquet(path)
+    rows.repartitionByRange("year", "ticker").sortWithinPartitions("year", "ticker", "session").write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+#: Matrices of a panel, sessions by tickers.
+MATRICES = ("open", "close", "volume", "median_dollar_volume", "eligible")
+
+
+def write_wide_panels(panel: DataFrame, path: str, tickers: list[str], matrices: tuple[str, ...] = MATRICES) -> None:
+    """One Parquet table per matrix: session and a column for each ticker. A matrix is as wide as the list of tickers."""
+    for name in matrices:
+        wide = panel.groupBy("session").pivot("ticker", tickers).agg(F.first(name, ignorenulls=True))
+        wide.orderBy("session").write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_wide_panels(spark: SparkSession, path: str, matrices: tuple[str, ...] = MATRICES) -> DataFrame:
+    """session, ticker and the matrices' values; a session or ticker that one of them lacks is null there."""
+    out = None
+    for name in matrices:
+        wide = spark.read.parquet(f"{path}/{name}")
+        tickers = [c for c in wide.columns if c != "session"]
+        long = wide.select("session", F.explode(F.array(*[F.struct(F.lit(t).alias("ticker"), F.col(f"`{t}`").alias(name)) for t in tickers])).alias("r")).select("session", "r.*")
+        out = long if out is None else out.join(long, ["session", "ticker"], "full")
+    return out
 
 
 def unpivot_quotes(wide: DataFrame, fields: tuple[str, ...] = ("open", "high", "low", "close", "volume")) -> DataFrame:
