@@ -35,11 +35,11 @@ class Sizes(NamedTuple):
 def plan(docs: DataFrame, least_buckets: int = 1) -> Sizes:
     """Sizes of chunks and number of buckets for the bytes of text of docs.
 
-    A bucket's task gets BUCKET_BYTES of text's keys or slices, whatever the number of shuffle partitions. Packed rows
-    number chunks times buckets, so chunks grow with the square root of the input to keep a row of ROW_BYTES of text.
+    A bucket has the keys or slices of BUCKET_BYTES of text and a task those of four buckets at most, or fewer where the
+    session has more shuffle partitions. Packed rows number chunks times buckets, so chunks grow with the square root of the input to keep a row of ROW_BYTES of text.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * BUCKET_BYTES)))
     buckets = max(least_buckets, 4 * partitions, -(-total // BUCKET_BYTES))
     return Sizes(partitions, min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, ROW_BYTES * buckets)), buckets)
 
