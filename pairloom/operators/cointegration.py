@@ -78,7 +78,7 @@ def test_pairs(pairs: DataFrame, panel: DataFrame, p: Params = Params()) -> Data
     stats = pair_statistics(formation_rows(pairs, panel, p))
     good = (F.col("formation_observations") >= p.min_pair_observations) & (F.least("dev_1", "dev_2") >= 1e-10)
     stats = stats.withColumns({f"tau_{s}": F.when(good, F.round(f"tau_{s}", DECIMALS)) for s in ("12", "21")})
-    stats = stats.withColumns({f"pvalue_{s}": F.round(mackinnon_p(F.col(f"tau_{s}")), DECIMALS) for s in ("12", "21")})
+    stats = stats.withColumns({f"pvalue_{s}": mackinnon_p(F.col(f"tau_{s}")) for s in ("12", "21")})
     valid = F.col("pvalue_12").isNotNull() & F.col("pvalue_21").isNotNull()
     one = F.col("pvalue_12") <= F.col("pvalue_21")
     pick = lambda k: F.when(valid & one, F.col(f"{k}_12")).when(valid, F.col(f"{k}_21"))

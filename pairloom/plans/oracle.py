@@ -18,9 +18,12 @@ def breach(a: str, op: str, b: str) -> str:
     return f"coalesce({a} {op} {b} AND abs({a} - {b}) > 1e-8 + 1e-6 * abs({b}), false)"
 
 
+#: The normal distribution: a series, and in the tail, where it cancels, Simpson's rule over exp(-|x| t - t * t / 2).
 PHI = (
-    "(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * coalesce(sign({x}) * list_sum(list_transform(range(0, 200), "
-    "lambda n: exp((2 * n + 1) * ln(nullif(abs({x}), 0)) - lgamma(2 * n + 2) + n * ln(2) + lgamma(n + 1)))), 0))"
+    "(CASE WHEN {x} < -3 THEN exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * (0.02 / -({x})) / 3 * list_sum(list_transform(range(0, 2001), "
+    "lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.02 * i - pow(0.02 * i / ({x}), 2) / 2))) "
+    "ELSE 0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * coalesce(sign({x}) * list_sum(list_transform(range(0, 200), "
+    "lambda n: exp((2 * n + 1) * ln(nullif(abs({x}), 0)) - lgamma(2 * n + 2) + n * ln(2) + lgamma(n + 1)))), 0) END)"
 )
 
 
@@ -120,7 +123,7 @@ CTES = FIXTURE | {
     "res": f"SELECT fr.*, a - a12 - b12 * b AS u12, b - a21 - b21 * a AS u21 FROM fr JOIN fit USING ({K}) WHERE formation_observations >= 200 AND dev >= 1e-10",
     "lagged": f"SELECT *, lag(u12) OVER w AS l12, lag(u12, 2) OVER w AS k12, lag(u21) OVER w AS l21, lag(u21, 2) OVER w AS k21 FROM res WINDOW w AS (PARTITION BY {K} ORDER BY n)",
     "adf": f"SELECT {K}, {tau('12')} AS tau_12, {tau('21')} AS tau_21 FROM (SELECT {K}, count(*) AS m, {sums('12')}, {sums('21')} FROM lagged WHERE k12 IS NOT NULL GROUP BY {K})",
-    "ps": f"SELECT *, round({pvalue('tau_12')}, 8) AS pvalue_12, round({pvalue('tau_21')}, 8) AS pvalue_21 FROM adf",
+    "ps": f"SELECT *, {pvalue('tau_12')} AS pvalue_12, {pvalue('tau_21')} AS pvalue_21 FROM adf",
     "chosen": f"""SELECT {K}, tau_12, tau_21, pvalue_12, pvalue_21, greatest(pvalue_12, pvalue_21) AS conservative_pvalue, pvalue_12 <= pvalue_21 AS one,
         CASE WHEN one THEN ticker_1 ELSE ticker_2 END AS dependent_ticker, CASE WHEN one THEN ticker_2 ELSE ticker_1 END AS independent_ticker,
         CASE WHEN one THEN a12 ELSE a21 END AS alpha, CASE WHEN one THEN b12 ELSE b21 END AS hedge_ratio FROM ps JOIN fit USING ({K})""",
@@ -286,6 +289,8 @@ SELECTS = {
         round(-sign(entry_z_score) * (end_z_score - entry_z_score), 8) AS x FROM events_ WHERE entry_triggered) GROUP BY reason)""",
     "mackinnon_p": f"SELECT tau, {r('pvalue')} FROM (SELECT tau, {pvalue('tau')} AS pvalue FROM (SELECT i / 8.0 - 19.0 AS tau FROM range(0, 161) t(i)))",
 }
+SELECTS["coint_log_pvalues"] = f"""SELECT {K}, round(ln(nullif(pvalue_12, 0)) + {NUDGE}, 4) + 0.0 AS log_12, round(ln(nullif(pvalue_21, 0)) + {NUDGE}, 4) + 0.0 AS log_21, dependent_ticker,
+    round(ln(nullif(fdr_pvalue, 0)) + {NUDGE}, 4) + 0.0 AS log_fdr FROM adjusted"""
 SELECTS["mackinnon_p_sql"] = SELECTS["mackinnon_p"]
 SELECTS |= {
     "bh_adjust_sql": f"SELECT selection_date, ticker_1, ticker_2, {r('fdr_pvalue')} FROM adjusted",

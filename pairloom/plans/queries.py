@@ -195,6 +195,13 @@ def coint_pvalues(r):
     return r.tested.select("selection_date", "ticker_1", "ticker_2", "test_status", "pvalue_12", "pvalue_21", "conservative_pvalue", "dependent_ticker", "independent_ticker")
 
 
+@query
+def coint_log_pvalues(r):
+    """Small p-values on a log scale, four decimals of it; zero is null."""
+    log = lambda c: F.round(F.ln(F.when(F.col(c) > 0, F.col(c))) + float(NUDGE), 4)
+    return r.results.select("selection_date", "ticker_1", "ticker_2", log("pvalue_12").alias("log_12"), log("pvalue_21").alias("log_21"), "dependent_ticker", log("fdr_pvalue").alias("log_fdr"))
+
+
 @query
 def half_life(r):
     return r.tested.select("selection_date", "ticker_1", "ticker_2", "half_life", "mean_reversion_coefficient")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.scalars import lenient_date, lenient_double, normalise_cik, normalise_ticker
@@ -83,7 +83,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """The patch list; position is its order in the file."""
     text = "ticker string, action string, start_date string, end_date string, field string, reason string, source string"
-    rows = read_csv(spark, path, text).withColumn("position", F.monotonically_increasing_id().cast("int"))
+    # A patch list is one small file; ids grow over its parts, numbers run through them.
+    order = Window.orderBy("id")
+    rows = read_csv(spark, path, text).withColumn("id", F.monotonically_increasing_id()).withColumn("position", F.row_number().over(order) - 1)
     rows = rows.withColumns({c: lenient_date(F.col(c)) for c in ("start_date", "end_date")})
     return rows.select(*[x.split()[0] for x in OVERRIDES.split(", ")])
 
