@@ -35,6 +35,11 @@ def research(spark: SparkSession, sf_dir: str, p: Params = P) -> Research:
     return _LAST[key]
 
 
+def forget() -> None:
+    """The next query begins at the source tables again."""
+    _LAST.clear()
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to PLACES decimals, infinite ones as null, and no negative zero.
 
