@@ -299,6 +299,7 @@ def _market(r: Research) -> DataFrame:
 
 @query
 def market_relative(r):
+    """One security against the pooled series; market_relative_all has every one."""
     market = _market(r)
     own = r.bars.where("ticker = 'Brand#1'").select(F.col("session").alias("date"), F.col("close").alias("net_equity"))
     return metrics.relative(own, market, r.p)
